@@ -26,3 +26,27 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from . import packing as p
 
     return p.best_fit_packing(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go: those without a text or without any letter.
+
+    The models learn from the labelled documents of the stage's own input.
+    """
+    from . import langid
+
+    return langid.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest doc_id."""
+    from . import neardup
+
+    return neardup.keep_representatives(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document appears once for each time that it is drawn."""
+    from . import mixing as m
+
+    return m.mixed_documents(docs)
