@@ -2,7 +2,7 @@
 
 Targets: sources share the words of all documents by weight, none above MOST times its own words; what a
 capped source leaves is shared again. A target is met by whole passes over the source and a last, partial
-pass in a fixed random order; what the order leaves short is topped up by the longest documents that fit.
+pass in a fixed random order; what the order leaves short is topped up by the documents that come nearest.
 
 Shards: a pass of a source is cut into BLOCKS random blocks. The tree deals all blocks to 2^LEVELS shards:
 at each node a uniformly random half of its blocks goes left, so the blocks of each source in it follow the
@@ -113,8 +113,8 @@ def plan(docs: DataFrame, label: str = "mixing", levels: int = LEVELS) -> Plan:
     )
     now = ws.write(now, "top-0")
     for k in range(TOP_UPS):
-        fit = rows.join(now.select("s", "upto", "more", "short"), "s").where((F.col("size") > 0) & (F.col("size") <= F.col("short")) & (F.col("key") > F.col("upto")) & ~F.array_contains("more", F.col("key")))
-        best = fit.groupBy("s").agg(F.max(F.struct("size", "key")).alias("best"))
+        fit = rows.join(now.select("s", "upto", "more", "short"), "s").where((F.col("size") > 0) & (F.col("size") < 2 * F.col("short")) & (F.col("key") > F.col("upto")) & ~F.array_contains("more", F.col("key")))
+        best = fit.groupBy("s").agg(F.max(F.struct((-F.abs(F.col("short") - F.col("size"))).alias("near"), "size", "key")).alias("best"))
         added = F.when(F.col("best").isNotNull(), F.concat("more", F.array("best.key"))).otherwise(F.col("more"))
         after = now.join(best, "s", "left").withColumn("more", added).withColumn("short", F.col("short") - F.coalesce("best.size", F.lit(0))).drop("best")
         now = ws.write(after, f"top-{k + 1}")

@@ -6,8 +6,11 @@ import importlib
 
 #: N: (module, query)
 _OPS = {
+    2: ("chat", "op2_chat_formatting"),
+    5: ("mixing", "op5_mixing"),
     6: ("packing", "op6_best_fit_packing"),
     8: ("secrets", "op8_secret_scans"),
+    10: ("langid", "op10_language_id"),
 }
 
 
@@ -16,6 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .secrets import oracle_op8
+    from . import chat, secrets
 
-    return {"op8_secret_scans": oracle_op8()}
+    return {"op2_chat_formatting": chat.ORACLE, "op8_secret_scans": secrets.oracle_op8()}
