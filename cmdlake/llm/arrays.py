@@ -50,9 +50,8 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n-1 of an odd base modulo 2^64, and of its inverse."""
     if len(_POWERS[0]) < n:
-        n = max(n, SLICE + (SLICE >> 1))
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(n, base, np.uint64)
+            out = np.full(max(n, SLICE + (SLICE >> 1)), base, np.uint64)
             out[0] = 1
             with np.errstate(over="ignore"):
                 _POWERS[k] = np.multiply.accumulate(out)

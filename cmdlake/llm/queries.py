@@ -7,6 +7,7 @@ import importlib
 #: N: (module, query)
 _OPS = {
     2: ("chat", "op2_chat_formatting"),
+    3: ("neardup", "op3_minhash_near_dedup"),
     5: ("mixing", "op5_mixing"),
     6: ("packing", "op6_best_fit_packing"),
     8: ("secrets", "op8_secret_scans"),
