@@ -115,3 +115,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (out[1:] != out[:-1])
     return row[keep], out[keep]
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, run bounds) from sorted batches, so that every run of equal values of by is in one piece."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for name in by:
+            x = batch.column(name).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(new)])
+        held = batch.slice(int(bounds[-1]))
+        if len(bounds) > 1:
+            yield batch.slice(0, int(bounds[-1])), bounds
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])

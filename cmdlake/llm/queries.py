@@ -8,8 +8,10 @@ import importlib
 _OPS = {
     2: ("chat", "op2_chat_formatting"),
     3: ("neardup", "op3_minhash_near_dedup"),
+    4: ("ann", "op4_permutation_index"),
     5: ("mixing", "op5_mixing"),
     6: ("packing", "op6_best_fit_packing"),
+    7: ("vectordedup", "op7_embedding_near_dedup"),
     8: ("secrets", "op8_secret_scans"),
     10: ("langid", "op10_language_id"),
 }
