@@ -6,6 +6,7 @@ import importlib
 
 #: N: (module, query)
 _OPS = {
+    1: ("substrings", "op1_suffix_array_dedup"),
     2: ("chat", "op2_chat_formatting"),
     3: ("neardup", "op3_minhash_near_dedup"),
     4: ("ann", "op4_permutation_index"),
