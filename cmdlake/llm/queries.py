@@ -14,6 +14,7 @@ _OPS = {
     6: ("packing", "op6_best_fit_packing"),
     7: ("vectordedup", "op7_embedding_near_dedup"),
     8: ("secrets", "op8_secret_scans"),
+    9: ("lmscore", "op9_masked_pseudo_likelihood"),
     10: ("langid", "op10_language_id"),
 }
 
