@@ -1,9 +1,13 @@
-"""All queries over the driver tables, each with its SQL."""
+"""All queries over the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from .plans import agent_plane, command_plane
 
 
 def queries() -> dict:
-    return {}
+    return command_plane.QUERIES | agent_plane.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return command_plane.ORACLES | agent_plane.ORACLES
