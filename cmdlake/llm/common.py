@@ -7,8 +7,10 @@ costs a re-read and never a recomputation of what came before.
 from __future__ import annotations
 
 import gc
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a session."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if not getattr(context, "_cmdlake_shipped", False) and (root / "cmdlake").is_dir():
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='cmdlake-')}/cmdlake", "zip", root, "cmdlake"))
+        context._cmdlake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +46,7 @@ class Workspace:
     """Tables written on the way to a result. ``drop`` frees those the result doesn't read."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}

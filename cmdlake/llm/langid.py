@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import flat, slices
-from .common import table
+from .common import ship, table
 
 MAX_SYMBOLS = 127
 MAX_LANGS = 64
@@ -140,6 +140,7 @@ def learn(labelled: DataFrame):
     import uuid
 
     spark = labelled.sparkSession
+    ship(spark)
     counts = gram_counts(labelled).cache()
     top = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
     common = counts.groupBy((F.col("gram") % 256).alias("byte")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "byte").limit(MAX_SYMBOLS).collect()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -133,6 +133,8 @@ def token_pieces(docs: DataFrame, path: str, most: int = MAX_TOKENS, end_id: int
     """A row for each piece of each document: its ids, then end_id, cut where longer than most."""
     end = np.array([end_id], "<u4").tobytes()
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:

@@ -24,6 +24,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, secrets
-
-    return {"op2_chat_formatting": chat.ORACLE, "op8_secret_scans": secrets.oracle_op8()}
+    from . import chat, oracles, secrets
+
+    return {
+        "op1_suffix_array_dedup": oracles.OP1,
+        "op2_chat_formatting": chat.ORACLE,
+        "op3_minhash_near_dedup": oracles.OP3,
+        "op5_mixing": oracles.op5(),
+        "op7_embedding_near_dedup": oracles.OP7,
+        "op8_secret_scans": secrets.oracle_op8(),
+    }
