@@ -10,7 +10,9 @@ Documents with equal sets are one class and are compared once. Within a posting
 compared with the list's first; links are confirmed on full sets and joined into components. A second round
 compares, within each list, classes of different components, in square blocks of bounded size. Pairs inside a
 component need no comparison, so a group of copies costs its size and not its square, and no link between
-components is lost.
+components is lost. Pairs that cannot be similar are dropped before they are emitted, by a bound that never errs:
+a parity sketch of ODD bits has a bit flipped by each shingle, so two sketches differ in no more bits than their
+sets differ in shingles.
 
 Null texts and texts without words have no shingle, stay alone and are kept; shorter texts are one shingle;
 repeated rows are copies of each other; rows with a null doc_id join components, whose id is the smallest
@@ -33,6 +35,7 @@ from .common import Workspace, connected_components, table
 SYMBOLS, CHUNKS, DISTANCE = 64, 16, 31
 PERCENT = 75
 BLOCK = 4096
+ODD = 512
 _FACTORS = mix(np.arange(1001, 1001 + SYMBOLS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -55,9 +58,15 @@ def signature(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, ODD / 64) words: a bit is the parity of the shingles that hash to it."""
+    counts = np.bincount(row * ODD + (mix(h) % np.uint64(ODD)).astype(np.int64), minlength=rows * ODD)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(rows, ODD), axis=1).view(np.uint64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, sig): c1 and c2 name the set; sig is null where it is empty."""
-    names = ["doc_id", "n_shingles", "c1", "c2", "sig"]
+    """(doc_id, n_shingles, c1, c2, sig, odd): c1 and c2 name the set; sig and odd are null where it is empty."""
+    names = ["doc_id", "n_shingles", "c1", "c2", "sig", "odd"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,15 +74,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             for i, j, d, o in slices(data, offsets):
                 row, h = shingles(d, o)
                 n, (c1, c2) = np.bincount(row, minlength=j - i), np.zeros((2, j - i), np.int64)
-                sig = np.full(j - i, None, object)
+                sig, odd = np.full(j - i, None, object), np.full(j - i, None, object)
                 starts = _starts(row)
                 if len(row):
                     full = row[starts]
                     c1[full], c2[full] = set_hashes(row, h, starts)
                     sig[full] = [x.tobytes() for x in signature(h, starts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), pa.array(sig, pa.binary())], names)
+                    ranks = np.repeat(np.arange(len(full)), np.diff(np.append(starts, len(row))))
+                    odd[full] = [x.tobytes() for x in parities(ranks, h, len(full))]
+                cols = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), pa.array(sig, pa.binary()), pa.array(odd, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, sig binary, odd binary")
 
 
 def _planes(sigs: np.ndarray) -> np.ndarray:
@@ -161,33 +173,47 @@ def first_round(posted: DataFrame, parts: int) -> DataFrame:
     return posted.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
 
 
-def second_round(rows: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+def may_be_similar(differ: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """False only for sets of sizes n and m that are not similar, if they differ in at least differ shingles."""
+    total = n + m
+    # intersection = (total - difference) / 2, union = (total + difference) / 2
+    return (100 * (total - differ) >= PERCENT * (total + differ)) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+
+
+def second_round(rows: DataFrame, labels: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """Pairs (a, b) of classes of different components in one list, by blocks of BLOCK rows."""
-    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = nodes.select("node", "odd", "n_shingles").join(labels, "node", "left")
+    rows = rows.join(known, "node").withColumn("component", F.coalesce("component", "node"))
     stats = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     rows = rows.join(stats.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "p0", "p1", "p2")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "odd", "p0", "p1", "p2")
 
     def pairs(cell: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        i, j, block, node, comp, planes = cell
+        i, j, block, node, comp, sizes, planes, odd = cell
         left = np.flatnonzero(block == i[0])
         right = left if i[0] == j[0] else np.flatnonzero(block == j[0])
         for at in range(0, len(left), 256):
             rows_ = left[at : at + 256]
             ok = _near(planes[rows_][:, None], planes[right][None]) & (comp[rows_][:, None] != comp[right][None])
             x, y = np.nonzero(ok)
-            a, b = node[rows_[x]], node[right[y]]
+            x, y = rows_[x], right[y]
             if i[0] == j[0]:
-                a, b = a[a < b], b[a < b]
+                x, y = x[node[x] < node[y]], y[node[x] < node[y]]
+            near = np.zeros(len(x), bool)
+            for s in range(0, len(x), 65536):
+                p, q = x[s : s + 65536], y[s : s + 65536]
+                near[s : s + 65536] = may_be_similar(np.bitwise_count(odd[p] ^ odd[q]).sum(1, dtype=np.int64), sizes[p], sizes[q])
+            a, b = node[x[near]], node[y[near]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component")] + [_planes_of(batch)]
+            cols = [batch.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component", "n_shingles")] + [_planes_of(batch)]
+            cols.append(np.frombuffer(b"".join(batch.column("odd").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             key, i, j = cols[:3]
@@ -264,7 +290,7 @@ def near_duplicates(docs: DataFrame, label: str = "neardup") -> DataFrame:
     ws, parts = Workspace(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     sigs = ws.write(signatures(docs), "signatures")
-    classes = sigs.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = sigs.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n_shingles"))
     # a class goes by its smallest doc_id, or by a negative number if another class has that already
     again = F.row_number().over(W.partitionBy("rep", F.when(F.col("rep").isNull(), F.col("c1"))).orderBy("c1", "c2"))
     own = -F.pmod(F.xxhash64("c1", "c2"), F.lit(1 << 62)) - (1 << 61)
@@ -276,7 +302,7 @@ def near_duplicates(docs: DataFrame, label: str = "neardup") -> DataFrame:
     labels = connected_components(ws, links, "cc-first")
     rest = found.where("not is_pair").select("key", F.col("a").alias("node"), "p0", "p1", "p2")
     tested = spark.read.schema("a long, b long").parquet(f"{ws.root}/first-pairs").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = second_round(rest, labels, parts).join(tested, ["a", "b"], "left_anti")
+    more = second_round(rest, labels, nodes, parts).join(tested, ["a", "b"], "left_anti")
     links2 = confirm(ws, more, nodes, docs, "second")
     # components of components
     to = labels.select(F.col("node").alias("x"), F.col("component").alias("cx"))
