@@ -209,4 +209,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without the rows that get ``und``."""
     shared = learn(docs.where((fold() != HELD_OUT) & F.col("lang").isNotNull()))
-    return predict(docs, shared, docs.columns).where("lang_pred <> 'und'").select(*docs.columns)
+    # under names of their own: docs may have columns named as the predictions are
+    own = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    out = predict(docs.select(*[F.col(c).alias(x) for c, x in own.items()], "text"), shared, list(own.values()))
+    return out.where("lang_pred <> 'und'").select(*[F.col(x).alias(c) for c, x in own.items()])

@@ -15,7 +15,8 @@ bounded size (sources x 256 rows, or x 769 for shards); prefix sums over documen
 65,536 random slices of a source.
 
 Null texts have size 0 and are never taken; a null source is a source of its own, last in order; repeated
-rows of one doc_id are taken together; an empty table gives an empty result; extra columns pass through.
+rows of one doc_id are taken together; an empty table gives an empty result; extra columns pass through, but for
+those named as the columns that ``draws`` adds.
 """
 
 from __future__ import annotations
@@ -147,6 +148,7 @@ def _small(df: DataFrame) -> DataFrame:
 def draws(docs: DataFrame, made: Plan | None = None) -> DataFrame:
     """docs with size, source_size, target and draws: array<struct<in_pass, shard>>, one for each time the row is taken."""
     made = made or plan(docs)
+    docs = docs.drop("size", "source_size", "target", "draws")
     rows = docs.withColumns({"_s": _source_key(F.col("source")), "_key": doc_key(F.col("doc_id")), "size": n_words(F.col("text"))})
     rows = rows.withColumn("_block", F.substring("_key", 1, 2))
     rows = rows.join(_small(made.sources.select(F.col("s").alias("_s"), "source_size", "target", F.col("full").alias("_full"), F.col("upto").alias("_upto"), F.col("last_block").alias("_last"), F.col("more").alias("_more"))), "_s")
@@ -168,7 +170,9 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    return mixed(docs).select(*docs.columns)
+    """The mix with the columns of docs, whatever their names."""
+    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
+    return mixed(rows).select("_row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

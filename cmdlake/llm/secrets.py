@@ -84,8 +84,8 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Every row of versions with its blob and findings; an empty array where there are none."""
-    rows = versions.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    """Every row of versions with its blob and findings, which replace columns of those names; an empty array where there are none."""
+    rows = versions.drop("blob", "findings").withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
     known = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
     return rows.join(known, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(ledger.schema["findings"].dataType)))
 

@@ -13,12 +13,13 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every finding is replaced by its kind in brackets; documents without findings stay as they are."""
     from . import secrets
 
-    found = secrets.findings_by_path(docs, secrets.scan(docs))
+    found = secrets.findings_by_path(docs.select("text", F.struct("*").alias("_row")), secrets.scan(docs))
     hit = F.size("findings") > 0
-    cleaned = found.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col("findings"))).otherwise(F.col("text")))
+    text = F.when(hit, secrets.redact(F.col("text"), F.col("findings"))).otherwise(F.col("text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+        changed["n_chars"] = F.when(hit, F.length(text).cast("long")).otherwise(F.col("_row.n_chars"))
+    return found.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
