@@ -182,7 +182,8 @@ def near_duplicates(rows: DataFrame, least: float = LEAST) -> DataFrame:
     nodes = ws.write(classes.withColumn("node", F.when((again == 1) & F.col("rep").isNotNull(), F.col("rep")).otherwise(own)), "nodes")
     coded = ws.write(hashed(nodes), "codes")
     all_lists = ws.write(posted(coded), "lists")
-    sizes = all_lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    # a table of its own: adaptive execution splits a join's hot key only where both sides are plain
+    sizes = ws.write(all_lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
     lists = all_lists.join(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
     lists = lists.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -194,7 +195,7 @@ def near_duplicates(rows: DataFrame, least: float = LEAST) -> DataFrame:
     groups = nodes.join(counts, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = ws.write(groups.join(ids, "component").select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "named")
-    ws.drop(all_lists, coded, nodes, met)
+    ws.drop(all_lists, sizes, coded, nodes, met)
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("_v")).join(named, "_v", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
