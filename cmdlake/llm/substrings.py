@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .arrays import SLICE, flat, mix, powers, prefix_hashes, slices, whole_runs
 from .common import Workspace, table
 
-LEAST, GRAM, HOT = 200, 32, 2000
+LEAST, GRAM, HOT = 200, 32, 20_000
 LEFT = LEAST - GRAM
 _PLACE = np.uint64((1 << 22) - 1)
 
@@ -79,7 +79,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rid = batch.column(0).to_numpy()
             data, offsets = flat(batch.column(1))
-            for i, j, d, o in slices(data, offsets):
+            for i, j, d, o in slices(data, offsets, SLICE):
                 if len(d) <= SLICE:
                     found = anchors(d)
                     start = np.arange(len(found))
