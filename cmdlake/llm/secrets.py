@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Workspace, table
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,11 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str
     return blobs.select("blob", F.lit(rule_version).alias("rule_version"), F.array_sort(F.concat(*parts)).alias("findings"))
 
 
+def written(ledger: DataFrame) -> DataFrame:
+    """The ledger as a table: read again it joins without an aggregate between, so a blob on very many paths can be split."""
+    return Workspace(ledger.sparkSession, "ledger").write(ledger, "ledger")
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     """Every row of versions with its blob and findings, which replace columns of those names; an empty array where there are none."""
     rows = versions.drop("blob", "findings").withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -113,7 +118,7 @@ def _of_kind(kind: str):
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    by_path = findings_by_path(docs, scan(docs)).select("doc_id", "findings")
+    by_path = findings_by_path(docs, written(scan(docs))).select("doc_id", "findings")
     base = F.filter("findings", lambda x: x["kind_no"] < len(BASE_RULES))
     counts = [F.size(F.filter("findings", _of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
     return by_path.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))

@@ -13,7 +13,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every finding is replaced by its kind in brackets; documents without findings stay as they are."""
     from . import secrets
 
-    found = secrets.findings_by_path(docs.select("text", F.struct("*").alias("_row")), secrets.scan(docs))
+    found = secrets.findings_by_path(docs.select("text", F.struct("*").alias("_row")), secrets.written(secrets.scan(docs)))
     hit = F.size("findings") > 0
     text = F.when(hit, secrets.redact(F.col("text"), F.col("findings"))).otherwise(F.col("text"))
     changed = {"text": text}
