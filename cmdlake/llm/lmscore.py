@@ -6,7 +6,7 @@ The FREQUENT commonest, counted over all documents, have ids of their own, the r
 stands outside a document.
 
 Training is data parallel: in each of ROUNDS rounds every task starts from the shared weights, runs minibatch
-gradient descent in NumPy over every STRIDE-th window of all its documents, and the weights are averaged by
+gradient descent in NumPy over every window of all its documents, and the weights are averaged by
 windows seen. What is read and gathered grows with the corpus; the model, under 64 KB, does not.
 
 Null and empty texts have no words, sum 0.0 and no mean; short texts see PAD on both sides; equal texts get equal
@@ -27,7 +27,7 @@ from .common import Workspace, table
 
 FREQUENT, RARE, PAD = 191, 64, 255
 VOCABULARY, SIDE, WIDTH, HIDDEN = 256, 2, 16, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 8, 256, 0.05
+ROUNDS, BATCH, RATE = 2, 256, 0.05
 SHARDS = 8
 
 
@@ -46,27 +46,31 @@ class Network:
         self.embed, self.w1, self.b1, self.w2, self.b2 = (p.reshape(s) for p, s in zip(parts, self.SHAPES, strict=True))
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = self.embed[context].reshape(len(context), -1)
+        x = self.embed.take(context, 0).reshape(len(context), -1)
         h = np.tanh(x @ self.w1 + self.b1)
-        z = h @ self.w2 + self.b2
+        z = h @ self.w2
+        z += self.b2
         z -= z.max(1, keepdims=True)
         return x, h, z
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target between its context words."""
         _, _, z = self.forward(context)
-        return z[np.arange(len(z)), target] - np.log(np.exp(z).sum(1))
+        own = z[np.arange(len(z)), target]
+        return own - np.log(np.exp(z, out=z).sum(1))
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-probability, in the order of SHAPES."""
         x, h, z = self.forward(context)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p /= len(p)
+        p = np.exp(z, out=z)
+        p *= 1 / (p.sum(1, keepdims=True) * np.float32(len(p)))
+        p[np.arange(len(p)), target] -= np.float32(1 / len(p))
         dh = (p @ self.w2.T) * (1 - h * h)
         embed = np.zeros_like(self.embed)
-        np.add.at(embed, context.ravel(), (dh @ self.w1.T).reshape(-1, WIDTH))
+        order = np.argsort(context.ravel(), kind="stable")
+        found = context.ravel()[order]
+        first = np.flatnonzero(np.diff(found, prepend=found[0] ^ 1))
+        embed[found[first]] = np.add.reduceat((dh @ self.w1.T).reshape(-1, WIDTH).take(order, 0), first, axis=0)
         return [embed, x.T @ dh, dh.sum(0), h.T @ p, p.sum(0)]
 
     def train(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray) -> None:
@@ -138,9 +142,8 @@ def train_round(tokens: DataFrame, weights: np.ndarray) -> np.ndarray:
         for batch in batches:
             data, offsets = flat(batch.column(0))
             for _, _, ids, o in slices(data, offsets, 1 << 19):
-                at = np.arange(seen % STRIDE, len(ids), STRIDE)
-                net.train(windows(ids, o, at), ids[at], squares)
-                seen += len(at)
+                net.train(windows(ids, o, np.arange(len(ids))), ids, squares)
+                seen += len(ids)
         if seen:
             shards = [net.weights[k * size : (k + 1) * size].tobytes() for k in range(SHARDS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([seen] * SHARDS, pa.int64()), pa.array(shards, pa.binary())], ["shard", "seen", "weights"])
@@ -168,8 +171,8 @@ def score(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
             data, offsets = flat(batch.column(1))
             for i, j, ids, o in slices(data, offsets, 1 << 19):
                 p = np.zeros(len(ids) + 1)
-                for s in range(0, len(ids), 8192):
-                    at = np.arange(s, min(len(ids), s + 8192))
+                for s in range(0, len(ids), 512):
+                    at = np.arange(s, min(len(ids), s + 512))
                     p[s : s + len(at)] = net.log_probs(windows(ids, o, at), ids[at])
                 n = np.diff(o)
                 total = np.where(n > 0, np.add.reduceat(p, o[:-1]), 0.0)

@@ -426,6 +426,28 @@ def test_lm_scores(spark):
     assert collected(lmscore.masked_scores(empty(spark))) == []
 
 
+def test_lm_training_sees_every_window(spark, monkeypatch):
+    tokens, trained = lmscore.tokenized(documents(spark), lmscore.vocabulary(documents(spark))).coalesce(1), []
+    monkeypatch.setattr(lmscore.Network, "train", lambda self, context, target, squares: trained.append(len(target)))
+    local = {}
+    rows = tokens.select("ids").toArrow()
+
+    class Tokens:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            local["made"] = list(run(iter(rows.to_batches())))
+            return self
+
+        groupBy = applyInArrow = lambda self, *_: self
+        collect = lambda self: []
+
+    lmscore.train_round(Tokens(), lmscore.Network().weights)
+    words = sum(len(r) for r in rows.column("ids").to_pylist())
+    assert sum(trained) == words and local["made"][0].column("seen").to_pylist() == [words] * lmscore.SHARDS
+
+
 def test_lm_scores_are_sums_over_masked_words(spark):
     docs = documents(spark)
     frequent = lmscore.vocabulary(docs)
