@@ -4,8 +4,9 @@ PIVOTS vectors of a bounded sample, no two at a cosine over APART, are the pivot
 pivots in order. The vectors are dealt into blocks; each block has an inverted file per pivot: the vectors that
 list it, with its place in their lists. A query walks the files of its own pivots. The footrule distance of two
 lists, absent pivots standing at place PREFIX, is a constant less twice the sum of PREFIX - max(place, place)
-over shared pivots, so the sum ranks candidates. The best FRACTION of each block is reranked by cosine in double
-precision. Recall at 5 on the test tables is 0.96 and more.
+over shared pivots, so the sum ranks candidates. Equal vectors of a block stand in it once, as a class. As many classes
+as FRACTION of the block's rows, the nearest, and all that tie with the last of them are reranked by cosine in double
+precision; then classes give their rows by vec_id. Recall at 5 on the test tables is 0.96 and more.
 
 Queries and blocks meet in cells of bounded size, a query block against an index block.
 
@@ -76,19 +77,34 @@ class InvertedFiles:
 
 def _search(cell: pa.Table, pivots: np.ndarray, k: int, fraction: float) -> pa.Table:
     ids, v, is_query = cell.column("vec_id").to_numpy(), np.array(cell.column("v").to_pylist(), np.float64), cell.column("is_query").to_numpy()
-    x = unit(v)
-    lists = permutations(x, pivots)
+    x = unit(v) + 0.0  # no -0.0: equal vectors have equal bytes
     q, c = np.flatnonzero(is_query), np.flatnonzero(~is_query)
     out: list[tuple] = []
     if len(q) and len(c):
-        files, most = InvertedFiles(lists[c], len(pivots)), min(len(c), max(LEAST, int(np.ceil(fraction * len(c)))) + 1)
+        one_of, seen = np.empty(len(c), np.int64), {}
+        for i, r in enumerate(c):
+            one_of[i] = seen.setdefault(x[r].tobytes(), len(seen))
+        order = np.lexsort((ids[c], one_of))
+        members, bounds = ids[c][order], np.searchsorted(one_of[order], np.arange(len(seen) + 1))
+        y = x[c[order[bounds[:-1]]]]
+        lists, files = permutations(x[q], pivots), InvertedFiles(permutations(y, pivots), len(pivots))
+        most = min(len(y), max(LEAST, int(np.ceil(fraction * len(c)))) + 1)
+        low, high = members[bounds[:-1]], members[bounds[1:] - 1]
         for at in range(0, len(q), 64):
-            for one, near in zip(q[at : at + 64], files.nearness(lists[q[at : at + 64]]), strict=True):
-                some = c[np.argpartition(-near, most - 1)[:most]]
-                some = some[ids[some] != ids[one]]
-                score = (x[some] * x[one]).sum(1)
-                best = np.lexsort((ids[some], -score))[:k]
-                out += [(ids[one], ids[r], s) for r, s in zip(some[best], score[best], strict=True)]
+            for one, near in zip(q[at : at + 64], files.nearness(lists[at : at + 64]), strict=True):
+                own = ids[one]
+                # every class as near as the last one; one with no other vec_id than the query's is no candidate
+                some = np.flatnonzero((near >= np.partition(near, len(near) - most)[len(near) - most]) & ((low != own) | (high != own)))
+                score = (y[some] * x[one]).sum(1)
+                if len(some) > k:
+                    keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    some, score = some[keep], score[keep]
+                found: list[tuple] = []
+                for g, sc in zip(some, score, strict=True):
+                    mine = members[bounds[g] : bounds[g + 1]]
+                    s, e = np.searchsorted(mine, own), np.searchsorted(mine, own, "right")
+                    found += [(-sc, r) for r in (*mine[: min(s, k)], *mine[e : e + k])]
+                out += [(own, r, -sc) for sc, r in sorted(found)[:k]]
     a, b, s = zip(*out, strict=True) if out else ((), (), ())
     return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 

@@ -355,6 +355,24 @@ def test_permutation_index(spark):
     assert collected(ann.search(df.limit(0), df.limit(0))) == []
 
 
+@pytest.mark.parametrize("spread", [0, 1e-9])
+def test_permutation_index_keeps_all_that_tie(spread):
+    """A crowd of copies, or of near copies with equal lists, wider than the share that is reranked."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 16))
+    crowd = rng.permutation(1200)[:500]
+    x[crowd] = x[crowd[0]] + spread * rng.normal(size=(500, 16))
+    ids, asked = rng.permutation(1200), crowd[:40]
+    pivots = ann.unit(rng.normal(size=(40, 16)))
+    cell = {"vec_id": [*ids, *ids[asked]], "v": [*x.tolist(), *x[asked].tolist()], "is_query": [False] * 1200 + [True] * 40}
+    got = ann._search(ann.pa.table(cell), pivots, 5, ann.FRACTION).to_pylist()
+    u = ann.unit(x)
+    for a in asked:
+        score = (u * u[a]).sum(1)
+        want = [int(ids[r]) for r in np.lexsort((ids, -score)) if ids[r] != ids[a]][:5]
+        assert [r["vec_id"] for r in got if r["query_id"] == ids[a]] == want
+
+
 def test_permutation_index_recall():
     rng = np.random.default_rng(6)
     x = ann.unit(rng.normal(size=(4000, 32)))
