@@ -2,7 +2,9 @@
 
 Targets: sources share the words of all documents by weight, none above MOST times its own words; what a
 capped source leaves is shared again. A target is met by whole passes over the source and a last, partial
-pass in a fixed random order; what the order leaves short is topped up by the documents that come nearest.
+pass in a fixed random order; what the order leaves short is topped up by the TOP_UPS documents that come nearest.
+If documents that fit are left then, the pass goes on behind the place where it stopped, over those that fit, until
+no document fits in what is short.
 
 Shards: a pass of a source is cut into BLOCKS random blocks. The tree deals all blocks to 2^LEVELS shards:
 at each node a uniformly random half of its blocks goes left, so the blocks of each source in it follow the
@@ -61,6 +63,7 @@ class Plan:
     ws: Workspace
     sources: DataFrame
     shards: DataFrame
+    extra: DataFrame | None = None  # (s, key) that the last pass took when it went on
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -86,19 +89,11 @@ def _cut(rows: DataFrame, state: DataFrame, digit: Column) -> DataFrame:
     return at.select("s", "slice", (F.col("rest") - F.col("c") + F.col("n")).alias("left"))
 
 
-def plan(docs: DataFrame, label: str = "mixing", levels: int = LEVELS) -> Plan:
-    ws = Workspace(docs.sparkSession, label)
-    sized = docs.select(_source_key(F.col("source")).alias("s"), doc_key(F.col("doc_id")).alias("key"), n_words(F.col("text")).alias("size"))
-    rows = ws.write(sized.groupBy("s", "key").agg(F.sum("size").alias("size")), "rows")
-    state = targets(rows.groupBy("s").agg(F.sum("size").alias("source_size")))
-    quota = F.floor("target")
-    state = state.withColumn("full", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    state = ws.write(state.withColumn("rest", (quota - F.col("full") * F.col("source_size")).cast("long")), "targets")
-
-    # the last pass: whole slices by the first and second byte of the key, then documents one by one
+def _cut_documents(ws: Workspace, rows: DataFrame, state: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Where the running sum of rows passes rest: (s, upto, short, last_block) of the sources in which it does, upto the last key that fits."""
     first = _cut(rows, state, F.substring("key", 1, 2))
     part = rows.join(first.select("s", F.col("slice").alias("b"), F.col("left").alias("rest")), "s").where(F.substring("key", 1, 2) == F.col("b"))
-    part = ws.write(part, "first")
+    part = ws.write(part, name)
     second = _cut(part.select("s", "key", "size"), part.groupBy("s").agg(F.first("rest").alias("rest")), F.substring("key", 3, 2))
     last = part.drop("rest").join(second.select("s", F.col("slice").alias("b2"), "left"), "s").where(F.substring("key", 3, 2) == F.col("b2"))
     run = last.withColumn("c", F.sum("size").over(W.partitionBy("s").orderBy("key")))
@@ -108,6 +103,47 @@ def plan(docs: DataFrame, label: str = "mixing", levels: int = LEVELS) -> Plan:
         (F.first("left") - F.coalesce(F.max(F.when(fits, F.col("c"))), F.lit(0))).alias("short"),
         F.first("b").alias("last_block"),
     )
+    return ends, part
+
+
+def _go_on(ws: Workspace, rows: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """now, and (s, key) of further documents: in the order of keys behind upto, those that fit, until none does."""
+    taken: list[DataFrame] = []
+    left = now.select("s", "upto", "more", "short")
+    while True:
+        n = len(taken)
+        fit = rows.join(left, "s").where((F.col("size") > 0) & (F.col("size") <= F.col("short")) & (F.col("key") > F.col("upto")) & ~F.array_contains("more", F.col("key")))
+        fit = ws.write(fit.select("s", "key", "size"), f"fit-{n}")
+        if fit.isEmpty():
+            break
+        ends, part = _cut_documents(ws, fit, left.select("s", F.col("short").alias("rest")), f"cut-{n}")
+        ends = ws.write(ends, f"ends-{n}")
+        mine = fit.join(ends.select("s", F.col("upto").alias("end")), "s", "left").where(F.col("end").isNull() | (F.col("key") <= F.col("end")))
+        taken.append(ws.write(mine.select("s", "key", "size"), f"taken-{n}"))
+        # a source whose sum never passes took all that fit
+        left = ws.write(left.select("s", "more").join(ends.select("s", "upto", "short"), "s").select("s", "upto", "more", "short"), f"left-{n}")
+        ws.drop(fit, part)
+    if not taken:
+        return now, None
+    extra = taken[0]
+    for more in taken[1:]:
+        extra = extra.union(more)
+    ends = extra.groupBy("s").agg(F.max(F.substring("key", 1, 2)).alias("block"), F.sum("size").alias("n"))
+    after = now.join(ends, "s", "left").withColumn("last_block", F.greatest("last_block", "block")).withColumn("short", F.col("short") - F.coalesce("n", F.lit(0)))
+    return ws.write(after.drop("block", "n"), "filled"), extra.select("s", "key")
+
+
+def plan(docs: DataFrame, label: str = "mixing", levels: int = LEVELS) -> Plan:
+    ws = Workspace(docs.sparkSession, label)
+    sized = docs.select(_source_key(F.col("source")).alias("s"), doc_key(F.col("doc_id")).alias("key"), n_words(F.col("text")).alias("size"))
+    rows = ws.write(sized.groupBy("s", "key").agg(F.sum("size").alias("size")), "rows")
+    state = targets(rows.groupBy("s").agg(F.sum("size").alias("source_size")))
+    quota = F.floor("target")
+    state = state.withColumn("full", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    state = ws.write(state.withColumn("rest", (quota - F.col("full") * F.col("source_size")).cast("long")), "targets")
+
+    # the last pass: whole slices by the first and second byte of the key, then documents one by one
+    ends, part = _cut_documents(ws, rows, state, "first")
     now = state.join(ends, "s", "left").select(
         "s", "source_size", "target", "full", F.coalesce("upto", F.lit("")).alias("upto"), F.coalesce("last_block", F.lit("")).alias("last_block"),
         F.array().cast("array<string>").alias("more"), F.coalesce("short", F.lit(0)).alias("short"),
@@ -119,8 +155,9 @@ def plan(docs: DataFrame, label: str = "mixing", levels: int = LEVELS) -> Plan:
         added = F.when(F.col("best").isNotNull(), F.concat("more", F.array("best.key"))).otherwise(F.col("more"))
         after = now.join(best, "s", "left").withColumn("more", added).withColumn("short", F.col("short") - F.coalesce("best.size", F.lit(0))).drop("best")
         now = ws.write(after, f"top-{k + 1}")
+    now, extra = _go_on(ws, rows, now)
     ws.drop(rows, state, part)
-    return Plan(ws, now, ws.write(_shards(now, levels), "shards"))
+    return Plan(ws, now, ws.write(_shards(now, levels), "shards"), extra)
 
 
 def _shards(sources: DataFrame, levels: int) -> DataFrame:
@@ -154,12 +191,15 @@ def draws(docs: DataFrame, made: Plan | None = None) -> DataFrame:
     rows = rows.join(_small(made.sources.select(F.col("s").alias("_s"), "source_size", "target", F.col("full").alias("_full"), F.col("upto").alias("_upto"), F.col("last_block").alias("_last"), F.col("more").alias("_more"))), "_s")
     rows = rows.join(_small(made.shards.select(F.col("s").alias("_s"), F.col("block").alias("_block"), F.col("dealt").alias("_dealt"))), ["_s", "_block"], "left")
     topped = F.array_contains("_more", F.col("_key"))
+    if made.extra is not None:
+        rows = rows.join(_small(made.extra.select(F.col("s").alias("_s"), F.col("key").alias("_key"), F.lit(True).alias("_extra"))), ["_s", "_key"], "left")
+        topped = topped | F.coalesce("_extra", F.lit(False))
     last = (F.col("size") > 0) & ((F.col("_key") <= F.col("_upto")) | topped)
     whole = F.filter(F.coalesce("_dealt", F.array().cast(made.shards.schema["dealt"].dataType)), lambda x: x["in_pass"] <= F.col("_full"))
     shard = F.try_element_at(F.transform(F.filter("_dealt", lambda x: x["in_pass"] > F.col("_full")), lambda x: x["shard"]), F.lit(1))
     one = F.array(F.struct((F.col("_full") + 1).alias("in_pass"), F.coalesce(shard, F.lit(0)).alias("shard")))
     taken = F.when(F.col("size") <= 0, F.array().cast(made.shards.schema["dealt"].dataType)).when(last, F.concat(whole, one)).otherwise(whole)
-    return rows.withColumn("draws", taken).drop("_s", "_key", "_block", "_full", "_upto", "_last", "_more", "_dealt")
+    return rows.withColumn("draws", taken).drop("_s", "_key", "_block", "_full", "_upto", "_last", "_more", "_dealt", "_extra")
 
 
 def mixed(docs: DataFrame) -> DataFrame:

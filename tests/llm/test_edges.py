@@ -235,6 +235,22 @@ def test_mixing_comes_near_its_targets_and_deals_evenly(spark):
     assert len(shards) == 2**mixing.LEVELS
 
 
+def test_mixing_goes_on_where_long_documents_do_not_fit(spark):
+    size = lambda i: 4000 if i % 203 < 3 else 20
+    docs = spark.createDataFrame([(i, "w " * size(i), f"s{i // 203:02}", 0) for i in range(12 * 203)], "doc_id long, text string, source string, n_chars long")
+    rows = collected(mixing.draws(docs))
+    assert len(rows) == docs.count()
+    far = []
+    for s in sorted({r["source"] for r in rows}):
+        mine = [r for r in rows if r["source"] == s]
+        short = int(mine[0]["target"]) - sum(r["size"] * len(r["draws"]) for r in mine)
+        full = int(mine[0]["target"]) // mine[0]["source_size"]
+        assert all(full <= len(r["draws"]) <= full + 1 for r in mine)
+        far += [(s, short) for r in mine if len(r["draws"]) == full and r["size"] <= short]
+    assert not far
+    assert sorted(map(str, rows)) == sorted(map(str, collected(mixing.draws(docs))))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
