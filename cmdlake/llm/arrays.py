@@ -66,14 +66,9 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words in each row): words are runs without white space, A-Z taken as a-z."""
-    if lower:
-        data = _LOWER[data]
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    space = _SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word of rows that hold at least a byte."""
+    n, space = len(data), _SPACE[data]
     start = ~space
     start[1:] &= space[:-1] | False
     inner = offsets[(offsets > 0) & (offsets < n)]
@@ -81,7 +76,17 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     end = ~space
     end[:-1] &= space[1:]
     end[inner - 1] = ~space[inner - 1]
-    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words in each row): words are runs without white space, A-Z taken as a-z."""
+    if lower:
+        data = _LOWER[data]
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    s, e = word_bounds(data, offsets)
     h = prefix_hashes(data)
     with np.errstate(over="ignore"):
         values = mix((h[e] - h[s]) * powers(n)[1][s] + (e - s).astype(np.uint64))

@@ -2,12 +2,18 @@
 
 A small network sees the two words before and the two after a masked one and predicts it; a document's score is
 the sum of the conditional log-probabilities of all its words. Words are lower-cased runs without white space.
-The FREQUENT commonest, counted over all documents, have ids of their own, the rest share RARE ids by hash; PAD
-stands outside a document.
+The FREQUENT commonest, counted over all documents, have ids of their own, the rest share RARE ids, classes by a hash
+of their first two bytes; PAD stands outside a document.
+
+A rare word's probability is that of its class between its context words, times the word's own within the class: its
+first two bytes by their share of the class, then each byte, and the word's end, given the two bytes before. These
+shares are counted over the rare words of all documents. Over all words a class's shares sum to one, so any word has
+a probability of its own, and one of usual spelling a larger one.
 
 Training is data parallel: in each of ROUNDS rounds every task starts from the shared weights, runs minibatch
 gradient descent in NumPy over every window of all its documents, and the weights are averaged by
-windows seen. What is read and gathered grows with the corpus; the model, under 64 KB, does not.
+windows seen. What is read and gathered grows with the corpus; the network, under 64 KB, does not.
+The spelling counts grow with the kinds of three bytes in a row, 2^24 at most.
 
 Null and empty texts have no words, sum 0.0 and no mean; short texts see PAD on both sides; equal texts get equal
 scores; extra columns are ignored; an empty table gives an empty result. Reruns over the same files agree.
@@ -22,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import flat, slices, words
+from .arrays import _LOWER, flat, mix, slices, word_bounds, words
 from .common import Workspace, table
 
 FREQUENT, RARE, PAD = 191, 64, 255
 VOCABULARY, SIDE, WIDTH, HIDDEN = 256, 2, 16, 32
 ROUNDS, BATCH, RATE = 2, 256, 0.05
 SHARDS = 8
+END = 32  # white space, which no word holds, stands before and after each
+_CLASS = (FREQUENT + mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(RARE)).astype(np.uint8)
 
 
 class Network:
@@ -50,7 +58,8 @@ class Network:
         h = np.tanh(x @ self.w1 + self.b1)
         z = h @ self.w2
         z += self.b2
-        z -= z.max(1, keepdims=True)
+        if np.abs(self.w2).sum(0).max() + np.abs(self.b2).max() > 60:  # tanh is at most 1: below, exp can't overflow
+            z -= z.max(1, keepdims=True)
         return x, h, z
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -108,29 +117,94 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in top], np.int64))
 
 
-def token_ids(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Ids of words by hash: 0 to FREQUENT - 1, then the RARE ones."""
+def token_ids(hashes: np.ndarray, classes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Ids of words by hash: 0 to FREQUENT - 1, then the classes of the rare ones."""
     signed = hashes.view(np.int64)
-    rare = (FREQUENT + (hashes >> np.uint64(40)) % np.uint64(RARE)).astype(np.uint8)
     if not len(frequent):
-        return rare
+        return classes
     at = np.minimum(np.searchsorted(frequent, signed), len(frequent) - 1)
-    return np.where(frequent[at] == signed, at.astype(np.uint8), rare)
+    return np.where(frequent[at] == signed, at.astype(np.uint8), classes)
+
+
+def identified(d: np.ndarray, o: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, words in each row, start and end of each word) of lower-cased rows."""
+    hashes, counts = words(d, o, lower=False)
+    s, e = word_bounds(d, o) if len(d) else (np.zeros(0, np.int64),) * 2
+    second = np.where(e - s > 1, d[np.minimum(s + 1, len(d) - 1)], END) if len(s) else s
+    return token_ids(hashes, _CLASS[d[s].astype(np.int64) * 256 + second], frequent), counts, s, e
+
 
+def spelled(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of three bytes in a row, first code of each word): a word's bytes and END, two ENDs before them."""
+    size = e - s + 1
+    first = np.cumsum(size) - size
+    at = np.arange(size.sum()) - np.repeat(first, size)
+    byte = d[np.minimum(np.repeat(s, size) + at, len(d) - 1)].astype(np.uint32)
+    byte[first + size - 1] = END
+    codes = byte.copy()
+    codes[1:] |= np.where(at[1:] > 0, byte[:-1], END).astype(np.uint32) << 8
+    codes[2:] |= np.where(at[2:] > 1, byte[:-2], END).astype(np.uint32) << 16
+    codes[0] |= END << 8 | END << 16
+    codes[1] |= END << 16  # a word has two codes at least
+    return codes, first
 
-def tokenized(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, ids): a byte per word."""
+
+def spelling_counts(docs: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, n): three bytes in a row in the rare words of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << 24, np.int64)  # only the pages of codes that occur take memory
+        for batch in batches:
+            data, offsets = flat(batch.column(0))
+            for _, _, d, o in slices(data, offsets):
+                d = _LOWER[d]
+                ids, _, s, e = identified(d, o, frequent)
+                rare = ids >= FREQUENT
+                if rare.any():
+                    np.add.at(held, spelled(d, s[rare], e[rare])[0], 1)
+        code = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(held[code], pa.int64())], ["code", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return rows.column("code").to_numpy(), rows.column("n").to_numpy()
+
+
+def spelling(code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-probability by code: of a byte after two, and of a word's second byte, with the first, within its class."""
+    two, last = code >> 8, code & 255
+    start, second = two == (END << 8 | END), (two >> 8 == END) & (two & 255 != END)
+    given = np.where(second, (1 << 16) + _CLASS[(two & 255) * 256 + last].astype(np.int64), two)
+    total = np.bincount(given, n, (1 << 16) + VOCABULARY)
+    out = np.zeros(1 << 24, np.float32)
+    out[code] = np.where(start, 0, np.log(n / np.maximum(total[given], 1)))
+    return out
+
+
+def tokenized(docs: DataFrame, frequent: np.ndarray, counts: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, ids): a byte per word; with spelling counts also own, the rare words' log-probability within their classes."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts) if counts else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = spelling(*shared.value) if shared else None
         for batch in batches:
             data, offsets = flat(batch.column(1))
             for i, j, d, o in slices(data, offsets):
-                hashes, counts = words(d, o)
-                ids, ends = token_ids(hashes, frequent).tobytes(), np.cumsum(counts)
-                rows = [ids[s:e] for s, e in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(rows, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+                d = _LOWER[d]
+                found, n, s, e = identified(d, o, frequent)
+                ids, ends = found.tobytes(), np.cumsum(n)
+                rows = [ids[s:e] for s, e in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+                out = [batch.column(0).slice(i, j - i), pa.array(rows, pa.binary())]
+                if logs is not None:
+                    own, rare = np.zeros(j - i), np.flatnonzero(found >= FREQUENT)
+                    if len(rare):
+                        codes, first = spelled(d, s[rare], e[rare])
+                        word = np.add.reduceat(logs[codes], first, dtype=np.float64)
+                        own = np.bincount(np.repeat(np.arange(j - i), n)[rare], word, j - i)
+                    out.append(pa.array(own))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "own"][: len(out)])
+
+    schema = "doc_id long, ids binary" + (", own double" if counts else "")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def train_round(tokens: DataFrame, weights: np.ndarray) -> np.ndarray:
@@ -163,7 +237,7 @@ def train_round(tokens: DataFrame, weights: np.ndarray) -> np.ndarray:
 
 
 def score(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, logp_sum, logp_mean) of each row of tokens (doc_id, ids)."""
+    """(doc_id, n_tokens, logp_sum, logp_mean) of each row of tokens (doc_id, ids), and own where they have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(weights)
@@ -176,6 +250,8 @@ def score(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
                     p[s : s + len(at)] = net.log_probs(windows(ids, o, at), ids[at])
                 n = np.diff(o)
                 total = np.where(n > 0, np.add.reduceat(p, o[:-1]), 0.0)
+                if batch.num_columns > 2:
+                    total += batch.column(2).slice(i, j - i).to_numpy()
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(total), mean], ["doc_id", "n_tokens", "logp_sum", "logp_mean"])
 
@@ -184,7 +260,8 @@ def score(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def masked_scores(docs: DataFrame) -> DataFrame:
     ws = Workspace(docs.sparkSession, "lmscore")
-    tokens = ws.write(tokenized(docs, vocabulary(docs)), "tokens")
+    frequent = vocabulary(docs)
+    tokens = ws.write(tokenized(docs, frequent, spelling_counts(docs, frequent)), "tokens")
     weights = Network().weights
     for _ in range(ROUNDS):
         weights = train_round(tokens, weights)

@@ -482,6 +482,35 @@ def test_lm_training_sees_every_window(spark, monkeypatch):
     assert sum(trained) == words and local["made"][0].column("seen").to_pylist() == [words] * lmscore.SHARDS
 
 
+def test_lm_rare_words_have_probabilities_of_their_own(spark):
+    frequent = [f"f{i}" for i in range(lmscore.FREQUENT)]
+    rare = ["alpha", "alphb", "al", "a", "beta", "Beta", "ünd", "alqzx"] + [f"{a}{b}ta" for a in "bcdgh" for b in "aeiou"]
+    docs = documents(spark, [None, "", " ".join(frequent * 40), *[f"{w} " for w in rare]])
+    kept = lmscore.vocabulary(docs)
+    counts = lmscore.spelling_counts(docs, kept)
+    got = {r["doc_id"]: r for r in collected(lmscore.tokenized(docs, kept, counts))}
+    spelled, total, classes = Counter(), Counter(), Counter()
+    texts = [w.lower().encode() for w in [*rare, rare[3]]]  # documents() repeats its row 6
+    for t in texts:
+        t = b"  " + t + b" "
+        classes[int(lmscore._CLASS[t[2] * 256 + t[3]])] += 1
+        for i in range(2, len(t)):
+            spelled[t[i - 2 : i + 1]] += 1
+            total[t[i - 2 : i]] += 1
+    for k, w in enumerate(rare):
+        if k + 3 == 15:
+            continue  # documents() has no id there
+        t = b"  " + w.lower().encode() + b" "
+        want = np.log(spelled[t[1:4]] / classes[int(lmscore._CLASS[t[2] * 256 + t[3]])])
+        want += sum(np.log(spelled[t[i - 2 : i + 1]] / total[t[i - 2 : i]]) for i in range(4, len(t)))
+        assert abs(got[k + 3]["own"] - want) < 1e-4, w
+    assert [got[k]["own"] for k in range(3)] == [0, 0, 0]
+    # one class, told apart: the common beginning costs less
+    assert got[3]["ids"] == got[10]["ids"] and got[3]["own"] != got[10]["own"]
+    rows = {r["doc_id"]: r for r in collected(lmscore.masked_scores(docs))}
+    assert rows[3]["logp_sum"] != rows[10]["logp_sum"]
+
+
 def test_lm_scores_are_sums_over_masked_words(spark):
     docs = documents(spark)
     frequent = lmscore.vocabulary(docs)
