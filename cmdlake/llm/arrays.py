@@ -79,21 +79,56 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+_PIECE = np.uint64(0xA0761D6478BD642F)
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+FEW = 8
+
+
+def _piece(view: np.ndarray, at: np.ndarray, left: np.ndarray, k: np.ndarray | int) -> np.ndarray:
+    """The scrambled eight bytes from at, of which left count, as the k-th of their word."""
+    with np.errstate(over="ignore"):
+        return mix((view[at] & _KEPT[np.minimum(left, 8)]) + (np.asarray(k).astype(np.uint64) + np.uint64(1)) * _PIECE)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words in each row): words are runs without white space, A-Z taken as a-z."""
+    """(hash of each word, words in each row): words are runs without white space, A-Z taken as a-z.
+
+    A word is summed over its pieces of eight bytes, each scrambled with its place, so that no
+    arrangement of bytes cancels out as it may in a polynomial modulo 2^64.
+    """
     if lower:
         data = _LOWER[data]
-    n = len(data)
-    if not n:
+    if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     s, e = word_bounds(data, offsets)
-    h = prefix_hashes(data)
+    size = e - s
+    view = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = _piece(view, s, size, 0)
     with np.errstate(over="ignore"):
-        values = mix((h[e] - h[s]) * powers(n)[1][s] + (e - s).astype(np.uint64))
+        for k in range(1, FEW):
+            some = np.flatnonzero(size > 8 * k)
+            if not len(some):
+                break
+            h[some] += _piece(view, s[some] + 8 * k, size[some] - 8 * k, k)
+        some = np.flatnonzero(size > 8 * FEW)
+        if len(some):
+            more = (size[some] + 7) // 8 - FEW
+            first = np.cumsum(more) - more
+            k = np.arange(more.sum()) - np.repeat(first, more) + FEW
+            h[some] += np.add.reduceat(_piece(view, np.repeat(s[some], more) + 8 * k, np.repeat(size[some], more) - 8 * k, k), first)
+        values = mix(h + size.astype(np.uint64))
     counts = np.searchsorted(s, offsets[1:]) - np.searchsorted(s, offsets[:-1])
     return values, counts
 
 
+def by_row(row: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by row, then value."""
+    if len(row) and row.max() < 1 << 16:  # two sorts, the second by counting
+        order = np.argsort(values)
+        return order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+    return np.lexsort((values, row))
+
+
 _PLACES = mix(np.arange(101, 106, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -115,7 +150,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
             # a missing word adds nothing; the number of words sets short rows apart
             out += np.where(left > k, padded[at + k] * _PLACES[k % 5], np.uint64(0))
         out = mix(out + np.minimum(left, size).astype(np.uint64))
-    order = np.lexsort((out, row))
+    order = by_row(row, out)
     row, out = row[order], out[order]
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (out[1:] != out[:-1])

@@ -78,19 +78,20 @@ def connected_components(ws: Workspace, links: DataFrame, name: str = "cc") -> D
 
     Alternating large-star and small-star steps: O(log n) rounds whatever the diameter, every
     step a partially aggregated minimum and a join on narrow rows. A hub's rows are combined
-    before the shuffle; the join back is one that adaptive execution splits.
+    before the shuffle; the minima are dealt anew before the join back, so that both its sides are plain
+    exchanges, which adaptive execution splits at a hub.
     """
     edges = ws.write(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0"
     )
-    n = 0
+    n, parts = 0, int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low.repartition(parts), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the neighbours of u are all smaller than u here
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
+        joined = large.repartition(parts).join(low2.repartition(parts), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
         n += 1
         after = ws.write(small.where("u <> v").distinct(), f"{name}-{n}")

@@ -146,13 +146,52 @@ def test_parity_bound_never_drops_a_similar_pair():
         n = int(rng.integers(1, 400))
         common = rng.integers(0, 1 << 62, n).astype(np.uint64)
         a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 62, int(rng.integers(0, n // 3 + 1))).astype(np.uint64)])) for _ in range(2))
-        odd = [neardup.parities(np.zeros(len(x), np.int64), x, 1) for x in (a, b)]
-        differ = np.bitwise_count(odd[0] ^ odd[1]).sum(1, dtype=np.int64)
+        odd = neardup.Sketches([neardup.parities(x, np.zeros(1, np.int64))[0] for x in (a, b)])
+        differ = odd.differences(np.array([0]), np.array([1]))
+        assert differ[0] <= len(np.setxor1d(a, b))
         j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
             assert neardup.may_be_similar(differ, np.array([len(a)]), np.array([len(b)]))[0], j
 
 
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_long_words_that_a_polynomial_confuses_do_not_link(spark):
+    word = thue_morse(1024)
+    texts = [word, word.translate(str.maketrans("ab", "ba")), f"x {word}", f"x {word.translate(str.maketrans('ab', 'ba'))}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in collected(neardup.near_duplicates(docs))) == [(i, i) for i in range(4)]
+
+
+@pytest.mark.parametrize("percent", [40, 60, 72])
+def test_second_round_gives_no_more_rows_than_it_reads(spark, monkeypatch, percent):
+    """A crowd of texts that share a part and are not similar, with a linked pair whose list has another head."""
+    rng, share = np.random.default_rng(percent), 2 * percent / (100 + percent)
+    common = [f"c{i}" for i in range(int(1000 * share))]
+    texts = [" ".join([*common, *(f"w{k}x{i}" for i in range(1000 - len(common)))]) for k in range(60)]
+    twin = texts[40].split()
+    for at in rng.choice(1000, 15, replace=False):
+        twin[at] = f"t{at}"
+    docs = spark.createDataFrame([*enumerate(texts), (60, " ".join(twin))], "doc_id long, text string")
+    seen = {}
+    for name in ("hopeful_rows", "block_links"):
+        def spy(rows, parts, name=name, real=getattr(neardup, name)):
+            out = real(rows, parts).persist()
+            seen[name] = rows.count(), out.count()
+            return out
+        monkeypatch.setattr(neardup, name, spy)
+    got = {r["doc_id"]: r["component_id"] for r in collected(neardup.near_duplicates(docs))}
+    sets = [shingle_set(" ".join(t)) for t in (texts[40].split(), twin)]
+    linked = 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1])
+    assert linked and got == {**{i: i for i in range(60)}, 60: 40}
+    assert all(out <= read for read, out in seen.values()) and seen["block_links"][1] <= 61
+
+
 @given(st.lists(st.text("aB \t\x0b\x1cé ", max_size=30), max_size=8))
 def test_words_and_shingles(texts):
     import pyarrow as pa
