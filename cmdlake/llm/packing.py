@@ -4,7 +4,9 @@ Pieces stream through a packer that keeps a fixed number of open bins, found by
 free space: the fullest open bin that still takes the piece gets it. When all places are taken, the
 fullest bin closes. Pieces reach a packer largest first, which is the order best-fit likes.
 
-Null texts count as empty: such a document is its end token alone. Equal rows are packed one by one.
+Null texts count as empty: such a document is its end token alone; texts are taken whole however long, and cut into
+pieces only by length in tokens; equal rows are packed one by one, and among pieces of equal length the order is by
+doc_id, piece and content; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ OPEN_BINS = 4096
 CACHE_WORDS = 400_000
 
 _EDGE = re.compile(r"\s | \s")
+#: The shortcut's pattern goes back over white space place by place, and its stack ends at some 100,000 of them.
+_LONG_SPACE = re.compile(r"\s{10000}")
 
 
 class Encoder:
@@ -33,7 +37,8 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins text across a single space between two non-space
     characters, so such stretches are encoded one by one and remembered. Texts with other white space
-    at those places, or with a special token's string, go through the tokenizer whole.
+    at those places go through the same ranks whole, and those with a special token's string or a very long run
+    of white space through the tokenizer file.
     """
 
     def __init__(self, path: str):
@@ -66,7 +71,7 @@ class Encoder:
         self.words = Words()
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or _LONG_SPACE.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not text or text[0] == " " or text[-1] == " " or _EDGE.search(text):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
