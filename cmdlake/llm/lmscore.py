@@ -70,11 +70,16 @@ class Network:
         h += self.b1
         return x, np.tanh(h, out=h)
 
+    def shift(self) -> bool:
+        """Whether an exponential might overflow: units are at most 1, so weights bound what goes into it."""
+        return any(np.abs(w).sum(-2).max() + np.abs(b).max() > 60 for w, b in ((self.wg, self.bg), (self.w2, self.b2)))
+
     @staticmethod
-    def softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(1, keepdims=True)
+    def softmax(z: np.ndarray, shift: bool) -> np.ndarray:
+        if shift:
+            z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z *= 1 / (z @ np.ones((z.shape[1], 1), np.float32))
         return z
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -83,34 +88,36 @@ class Network:
         if short := -n % SCORED:
             context = np.concatenate([context, np.full((short, context.shape[1]), PAD, np.uint8)])
             target = np.concatenate([target, np.full(short, PAD, np.uint8)])
-        out, row = np.empty(len(target)), np.arange(SCORED)
+        out, row, shift = np.empty(len(target)), np.arange(SCORED), self.shift()
         flat_w2 = np.ascontiguousarray(self.w2.transpose(1, 0, 2).reshape(HIDDEN, VOCABULARY))
         for s in range(0, len(target), SCORED):
             t = target[s : s + SCORED].astype(np.intp)
             _, h = self.hidden(context[s : s + SCORED])
-            group = self.softmax(h @ self.wg + self.bg)[row, t // GROUP]
+            group = self.softmax(h @ self.wg + self.bg, shift)[row, t // GROUP]
             within = (h @ flat_w2).reshape(SCORED, GROUPS, GROUP)[row, t // GROUP] + self.b2[t // GROUP]
-            own = self.softmax(within)[row, t % GROUP]
-            out[s : s + SCORED] = np.log(np.maximum(group, 1e-30)) + np.log(np.maximum(own, 1e-30))
+            own = self.softmax(within, shift)[row, t % GROUP]
+            out[s : s + SCORED] = np.log(np.maximum(group * own.astype(np.float64), 1e-60))
         return out[:n]
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """Of the mean negative log-probability, in the order of SHAPES."""
         order = np.argsort(target, kind="stable")  # a group's windows stand together
         context, target = context[order], target[order]
-        n, (x, h) = np.float32(len(target)), self.hidden(context)
+        one, (x, h), shift = np.float32(1 / len(target)), self.hidden(context), self.shift()
         group = target // GROUP
-        p = self.softmax(h @ self.wg + self.bg)
+        p = self.softmax(h @ self.wg + self.bg, shift)
         p[np.arange(len(p)), group] -= 1
-        p /= n
+        p *= one
         dh, w2, b2 = p @ self.wg.T, np.zeros_like(self.w2), np.zeros_like(self.b2)
         bounds = np.searchsorted(group, np.arange(GROUPS + 1))
         for g in range(GROUPS):
             s, e = bounds[g], bounds[g + 1]
             if e > s:
-                q = self.softmax(h[s:e] @ self.w2[g] + self.b2[g])
+                q = h[s:e] @ self.w2[g]
+                q += self.b2[g]
+                q = self.softmax(q, shift)
                 q[np.arange(e - s), target[s:e] % GROUP] -= 1
-                q /= n
+                q *= one
                 w2[g], b2[g] = h[s:e].T @ q, q.sum(0)
                 dh[s:e] += q @ self.w2[g].T
         wg, bg = h.T @ p, p.sum(0)

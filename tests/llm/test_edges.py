@@ -553,9 +553,8 @@ def test_lm_scores_depend_on_the_documents_alone(spark, monkeypatch):
     assert all(len(x) == 1 for x in by_text.values())
 
 
-def test_lm_training_and_scores_by_hand(spark, monkeypatch):
+def test_lm_training_and_scores_by_hand(spark):
     """A tiny corpus: the windows, the trained weights and the scores, step by step."""
-    monkeypatch.setattr(lmscore, "BATCH", 7)
     docs = spark.createDataFrame([(0, "a b c a b"), (1, "b c"), (2, "zz a q a b c"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in collected(lmscore.masked_scores(docs))}
     _, tokens = prepared(docs)
@@ -569,8 +568,8 @@ def test_lm_training_and_scores_by_hand(spark, monkeypatch):
     stream = [w for r in rows for w in seen(r["ids"])]
     for _ in range(lmscore.ROUNDS):
         net, squares = lmscore.Network(weights), np.full(len(weights), 1e-3)
-        for at in range(0, len(stream), 7):
-            context, target = (np.array(x, np.uint8) for x in zip(*stream[at : at + 7]))
+        for at in range(0, len(stream), lmscore.BATCH):
+            context, target = (np.array(x, np.uint8) for x in zip(*stream[at : at + lmscore.BATCH], strict=True))
             g = np.concatenate([x.ravel() for x in net.gradients(context, target)]).astype(float)
             squares += g * g
             net.weights -= (lmscore.RATE * g / (np.sqrt(squares) + 1e-6)).astype(np.float32)
