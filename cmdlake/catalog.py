@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import agent_plane, command_plane
+from .plans import agent_plane, command_plane, service_plane
 
 
 def queries() -> dict:
-    return command_plane.QUERIES | agent_plane.QUERIES
+    return command_plane.QUERIES | agent_plane.QUERIES | service_plane.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return command_plane.ORACLES | agent_plane.ORACLES
+    return command_plane.ORACLES | agent_plane.ORACLES | service_plane.ORACLES

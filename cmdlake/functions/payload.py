@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +13,11 @@ from pyspark.sql import types as T
 
 def last_wins(keys: Column, values: Column) -> Column:
     """A map of two arrays; a key that comes again keeps its first place and gets the last value."""
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     distinct = F.array_distinct(keys)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    # from the end, the first place of a key is its last one
+    back, last = F.reverse(keys), F.reverse(values)
+    slow = F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.element_at(last, F.array_position(back, k).cast("int"))))
+    return F.when(F.size(distinct) == F.size(keys), F.map_from_arrays(distinct, values)).otherwise(slow)
 
 
 def rekey(data: Column, f: Callable[[Column], Column]) -> Column:
@@ -36,6 +40,11 @@ def overlay(*layers: Column) -> Column:
     return last_wins(F.concat(*map(F.map_keys, full)), F.concat(*map(F.map_values, full)))
 
 
+def redact(data: Column, keys: Iterable[str] = ("api_key",)) -> Column:
+    """data with the values of secret keys covered."""
+    return F.transform_values(data, lambda k, v: F.when(k.isin(*keys), F.lit("REDACTED")).otherwise(v))
+
+
 def missing_fields(data: Column, required: Column) -> Column:
     """A message for each required field that is absent or null, in order, repeats included."""
     lacking = F.filter(required, lambda f: ~F.coalesce(F.map_contains_key(data, f), F.lit(False)) | data[f].isNull())
@@ -109,17 +118,55 @@ def flatten_rows(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.explode(entries).alias("e")).select(key, "e.path", "e.value")
 
 
+def flat_items(record: dict) -> dict:
+    """Dotted paths to what isn't an object, depth first; a path that comes again keeps its first place and gets the last value."""
+    out: dict = {}
+    stack = [("", iter(record.items()))]
+    while stack:
+        path, items = stack[-1]
+        for k, v in items:
+            here = f"{path}.{k}" if path else k
+            if isinstance(v, dict):
+                stack.append((here, iter(v.items())))
+                break
+            out[here] = v
+        else:
+            stack.pop()
+    return out
+
+
+def _flattened(as_text: bool):
+    """An Arrow function from JSON objects to flat ones; objects nest to any depth, which no fixed plan covers."""
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            record = json.loads(text)
+        except (ValueError, RecursionError):
+            return None
+        if not isinstance(record, dict):
+            return None
+        flat = flat_items(record)
+        if as_text:
+            flat = {k: json.dumps(v, ensure_ascii=False, separators=(",", ":")) for k, v in flat.items()}
+        return json.dumps(flat, ensure_ascii=False, separators=(",", ":"))
+
+    @F.pandas_udf("string")
+    def flatten(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return flatten
+
+
+def flatten_text(text: Column) -> Column:
+    """JSON text of an object, flattened; null for other text."""
+    return _flattened(False)(text)
+
+
 def flatten_json(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, path, value) for each leaf of JSON text of any shape; value is JSON text. Lists are leaves."""
-    from uuid import uuid4
-
-    view = f"flatten_{uuid4().hex}"
-    df.select(F.col(key).alias("k"), F.col(column).alias("j")).createOrReplaceTempView(view)
-    out = df.sparkSession.sql(f"""
-        WITH RECURSIVE t(k, path, v, top) AS (
-          SELECT k, '', try_parse_json(j), true FROM {view}
-          UNION ALL
-          SELECT t.k, CASE WHEN t.top OR t.path = '' THEN e.key ELSE t.path || '.' || e.key END, e.value, false
-          FROM t, LATERAL variant_explode(t.v) AS e(pos, key, value) WHERE schema_of_variant(t.v) LIKE 'OBJECT%')
-        SELECT k, path, to_json(v) AS value FROM t WHERE NOT top AND NOT schema_of_variant(v) LIKE 'OBJECT%'""")
-    return out.withColumnRenamed("k", key)
+    """(key, path, value) for each leaf of JSON text of any shape; value is JSON text. Lists are leaves, empty objects vanish.
+
+    One pass without a shuffle, whatever the number of rows; text that is no object gives no rows.
+    """
+    leaves = F.from_json(_flattened(True)(F.col(column)), "map<string,string>")
+    return df.select(F.col(key), leaves.alias("_leaves")).select(key, F.explode("_leaves").alias("path", "value"))

@@ -83,3 +83,15 @@ def desktop_rules(command: Column, action: Column, kind: Column, params: Column)
         else:
             rules.append((supplied & falsy(value), F.concat(F.lit(f"{field} is required for '"), action, F.lit("' action"))))
     return tuple(rules)
+
+
+def payload_rules(command_type: Column, payload: Column) -> tuple[Rule, ...]:
+    """What the payload, JSON text, of a task or a new agent must name; a key may stand there with null."""
+    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    need = (("execute_task", "task_type"), ("create_agent", "agent_type"))
+    return tuple(((command_type == kind) & ~F.array_contains(keys, field), f"payload must contain '{field}'") for kind, field in need)
+
+
+def body_agent_type(body: Column) -> Column:
+    """The type of a new agent: agent_type of the body, JSON text, else its type, else a default."""
+    return F.coalesce(F.get_json_object(body, "$.agent_type"), F.get_json_object(body, "$.type"), F.lit("default"))

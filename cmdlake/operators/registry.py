@@ -59,9 +59,11 @@ def responses(commands: DataFrame) -> DataFrame:
 
 
 def agents(commands: DataFrame) -> DataFrame:
-    """The agents that exist at the end of the log: (id, type, status)."""
-    last = commands.groupBy("target_id").agg(_last("create_agent").alias("made"), _last("delete_agent").alias("gone"), F.max_by("agent_type", F.when(F.col("command_type") == "create_agent", F.struct("ts", "command_id"))).alias("type"))
-    return last.where(_alive(F.col("made"), F.col("gone"))).select(F.col("target_id").alias("id"), "type", F.lit("running").alias("status"))
+    """The agents that exist at the end of the log: (id, type, status, config); config is what they were made with."""
+    made = F.max(F.when(F.col("command_type") == "create_agent", F.struct("ts", "command_id", "agent_type", "payload"))).alias("made")
+    last = commands.groupBy("target_id").agg(made, _last("delete_agent").alias("gone"))
+    alive = _alive(F.struct("made.ts", "made.command_id"), F.col("gone"))
+    return last.where(F.col("made").isNotNull() & alive).select(F.col("target_id").alias("id"), F.col("made.agent_type").alias("type"), F.lit("running").alias("status"), F.col("made.payload").alias("config"))
 
 
 def tasks(commands: DataFrame) -> DataFrame:
@@ -72,6 +74,35 @@ def tasks(commands: DataFrame) -> DataFrame:
     return made.join(canceled, "task_id", "left").select("task_id", "agent_id", F.when(F.col("canceled"), "canceled").otherwise("pending").alias("status"))
 
 
+def task_lookups(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked (task_id, ...) with status and error: the state of each task asked for."""
+    rows = asked.join(known.select("task_id", "status"), "task_id", "left")
+    return rows.withColumn("error", F.when(F.col("status").isNull(), F.concat(F.lit("Task not found: "), F.coalesce(F.col("task_id").cast("string"), F.lit("None")))))
+
+
+def api_responses(commands: DataFrame) -> DataFrame:
+    """(command_id, status, result, error, task_id, agent_id): result is JSON text, from which the ids are lifted; a status record nests twice."""
+    t, kind, text = F.col("target_id").cast("string"), F.col("command_type"), F.col("message")
+    rows = responses(commands).join(commands.select("command_id", "command_type", "target_id", "task_ref"), "command_id")
+    body = (
+        F.when(kind == "create_agent", F.to_json(F.struct(text.alias("message"), t.alias("agent_id"))))
+        .when(kind == "execute_task", F.to_json(F.struct(text.alias("message"), F.col("command_id").cast("string").alias("task_id"))))
+        .when(kind == "get_agent_status", F.to_json(F.struct(t.alias("agent_id"), F.struct(F.lit("running").alias("status")).alias("status"))))
+        .otherwise(F.to_json(F.struct(text.alias("message"))))
+    )
+    rows = rows.withColumn("result", F.when(F.col("status") == "success", body))
+    lifted = {c: F.get_json_object("result", f"$.{c}") for c in ("task_id", "agent_id")}
+    return rows.withColumns(lifted).select("command_id", "status", "result", "error", "task_id", "agent_id")
+
+
+def listing(found: DataFrame, allowed: DataFrame) -> DataFrame:
+    """A row for each caller of allowed (caller, error): the agents found, or an empty list beside the error."""
+    every = found.agg(F.array_sort(F.collect_list(F.struct("id", "type", "status"))).alias("all"))  # the answer is one record by its nature
+    rows = allowed.crossJoin(F.broadcast(every))
+    empty = F.array().cast("array<struct<id:bigint,type:string,status:string>>")
+    return rows.select("caller", F.coalesce(F.when(F.col("error").isNull(), F.col("all")), empty).alias("agents"), "error")
+
+
 def system_status(commands: DataFrame) -> DataFrame:
     """One row: number of agents, number of tasks, and that the system runs."""
     a, t = agents(commands).agg(F.count("*").alias("agents")), tasks(commands).agg(F.count("*").alias("tasks"))

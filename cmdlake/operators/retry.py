@@ -32,3 +32,17 @@ def finished(attempts: DataFrame, most: int, delay: float) -> DataFrame:
     rows = attempts.where(F.col("attempt") <= most).groupBy("request_id").agg(F.min_by(F.struct("attempt", "code"), F.when(ends, F.col("attempt"))).alias("e"))
     waited = F.lit(float(delay)) * (F.pow(F.lit(2.0), F.col("e.attempt")) - 1)
     return rows.select("request_id", F.col("e.attempt").alias("attempts_before"), F.col("e.code").alias("code"), (F.col("e.code") < 400).alias("ok"), waited.alias("waited"))
+
+
+def tool_outcome(attempts: DataFrame, retries: int, delay: float) -> DataFrame:
+    """The end of each tool call of attempts (call_id, attempt, exit_code, output): its first success, or its last attempt of retries + 1.
+
+    Between attempts a fixed delay passes. output is the tool's text, of a success; error tells of the last failure.
+    """
+    ends = (F.col("exit_code") == 0) | (F.col("attempt") >= retries)
+    end = F.min_by(F.struct("attempt", "exit_code", "output"), F.when(ends, F.col("attempt"))).alias("e")
+    rows = attempts.where(F.col("attempt") <= retries).groupBy("call_id").agg(end, F.max_by(F.struct("attempt", "exit_code", "output"), "attempt").alias("l"))
+    rows = rows.withColumn("e", F.coalesce("e", "l"))
+    ok = F.col("e.exit_code") == 0
+    failed = F.concat(F.lit("MCP command failed with exit code "), F.col("e.exit_code").cast("string"), F.lit(": "), F.trim("e.output"))
+    return rows.select("call_id", F.col("e.attempt").alias("retried"), ok.alias("ok"), F.when(ok, F.trim("e.output")).alias("stdout"), F.when(~ok, failed).alias("error"), (F.col("e.attempt") * F.lit(float(delay))).alias("waited"))

@@ -41,9 +41,8 @@ def register_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def publish_worker_status(spark: SparkSession, d: str) -> DataFrame:
-    """Orchestrators know the workers of their own parity; reports come from all."""
-    pairs = register_pairs(spark, d).where("orchestrator_id % 2 = worker_id % 2")
-    return routing.publish_status(pairs, _workers(spark, d)).select("orchestrator_id", "worker_id", "status")
+    """Every worker's report goes to each orchestrator that knows it, as all do."""
+    return routing.publish_status(register_pairs(spark, d), _workers(spark, d)).select("orchestrator_id", "worker_id", "status")
 
 
 def delegate_tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +63,11 @@ def availability_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def task_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    """Task types by order key; the last of them has no handler. The agent's status after a task is the one before it."""
+    """Task types by order key; the last of them has no handler. The worker's status after a task is the one before it."""
     kind = F.element_at(F.array(*map(F.lit, TASK_TYPES)), (F.col("o_orderkey") % len(TASK_TYPES)).cast("int") + 1)
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), kind.alias("task_type"), F.lit("idle").alias("status_after"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 10 + 1).alias("worker_id"), kind.alias("task_type"))
+    after = F.element_at(tasks.status_trail(F.col("status"), F.col("task_type"), F.col("has_queue")), -1)
+    rows = rows.join(_workers(spark, d), "worker_id").select("task_id", "task_type", after.alias("status_after"))
     return rows.withColumn("error", tasks.dispatch_error(F.col("task_type")))
 
 
@@ -204,12 +205,6 @@ def role_consistency(spark: SparkSession, d: str) -> DataFrame:
     return _workers(spark, d).select("worker_id", rules.role_of(F.col("role"), flag).alias("r")).select("worker_id", "r.is_orchestrator", "r.error")
 
 
-def redact(spark: SparkSession, d: str) -> DataFrame:
-    """Configuration rows for a log: the key is covered, the text of the document stays out."""
-    rows = table(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 8).alias("api_key"), "text")
-    return rows.withColumn("api_key", F.lit("REDACTED")).drop("text")
-
-
 def model_rows(spark: SparkSession, d: str) -> DataFrame:
     """A server's list of models: size and time of change have defaults, the raw row is kept."""
     key = F.col("s_suppkey")
@@ -239,7 +234,7 @@ QUERIES = {f.__name__: f for f in (
     agent_status_record, agent_init, idle_workers, role_split, register_pairs, publish_worker_status, delegate_tasks, route_responses,
     availability_gate, task_dispatch, status_updates, tool_payloads, required_fields, uppercase_keys, lowercase_keys, internal_operations,
     flatten_payload, flatten_open, fill_template, resolve_env_refs, config_overlay, bool_parse, int_parse, url_normalise, enum_cast,
-    provider_key_lookup, classify_updates, timeout_bounds, role_consistency, redact, model_rows, generate_request, roster_rows,
+    provider_key_lookup, classify_updates, timeout_bounds, role_consistency, model_rows, generate_request, roster_rows,
 )}
 
 _W = """with w as (select s_suppkey as worker_id, ['idle', 'processing_task', 'error', 'mcp_tool_busy', 'initializing'][(s_suppkey % 5 + 1)::int] as status,
@@ -254,7 +249,7 @@ ORACLES = {
     "idle_workers": _W + "select worker_id, role from w where status = 'idle'",
     "role_split": _W + "select role as side, count(*) as n from w group by 1",
     "register_pairs": _W + "select o.worker_id as orchestrator_id, k.worker_id, k.status, k.role from w o, w k where o.role = 'orchestrator' and k.role = 'worker'",
-    "publish_worker_status": _W + "select o.worker_id as orchestrator_id, k.worker_id, k.status from w o, w k where o.role = 'orchestrator' and k.role = 'worker' and o.worker_id % 2 = k.worker_id % 2",
+    "publish_worker_status": _W + "select o.worker_id as orchestrator_id, k.worker_id, k.status from w o, w k where o.role = 'orchestrator' and k.role = 'worker'",
     "delegate_tasks": _W + """, i as (select worker_id as idle_id, row_number() over (order by worker_id) - 1 as place, count(*) over () as n from w where status = 'idle'),
       t as (select o_orderkey as task_id, case when o_orderkey % 3 = 0 then o_custkey % 120 end as wanted from orders),
       c as (select task_id, coalesce(wanted, idle_id) as target from t left join i on (task_id * 31) % n = place)
@@ -263,8 +258,8 @@ ORACLES = {
       from c left join supplier on s_suppkey = target""",
     "route_responses": "select o_orderkey as task_id, o_custkey % 150 as source_id, o_orderkey % 10 as agent_id from orders where o_custkey % 150 in (select s_suppkey from supplier) and o_custkey % 150 <> o_orderkey % 10",
     "availability_gate": _W + "select o_orderkey as task_id, case when status in ('error', 'processing_task', 'mcp_tool_busy') then 'Agent is not available to process tasks (current status: ' || status || ')' end as error from orders join w on worker_id = o_custkey % 10 + 1",
-    "task_dispatch": """select task_id, task_type, 'idle' as status_after, case when task_type = 'llm_request' then 'Unsupported task type: llm_request' end as error from
-      (select o_orderkey as task_id, ['mcp_command', 'internal_process', 'status_update', 'configuration_update', 'llm_request'][(o_orderkey % 5 + 1)::int] as task_type from orders)""",
+    "task_dispatch": _W + """select task_id, task_type, status as status_after, case when task_type = 'llm_request' then 'Unsupported task type: llm_request' end as error from
+      (select o_orderkey as task_id, o_custkey % 10 + 1 as worker_id, ['mcp_command', 'internal_process', 'status_update', 'configuration_update', 'llm_request'][(o_orderkey % 5 + 1)::int] as task_type from orders) join w using (worker_id)""",
     "status_updates": """select task_id, case when s in ('asleep', '') then 'failed' else 'completed' end as status,
       case s when '' then 'Missing ''status'' in payload' when 'asleep' then 'Invalid status value: asleep' end as error,
       case when s not in ('asleep', '') then '{"status":"' || s || '"}' end as result from
@@ -304,7 +299,6 @@ ORACLES = {
         else 'All configuration updates were applied successfully' end as message, rebuild from g""",
     "timeout_bounds": "select o_orderkey, case when s < 1 then 'timeout_seconds must be at least 1' when s > 300 then 'timeout_seconds must be at most 300' end as error from (select o_orderkey, o_custkey % 400 - 20 as s from orders)",
     "role_consistency": _W + "select worker_id, worker_id % 2 = 0 or role = 'orchestrator' as is_orchestrator, case when worker_id % 2 = 0 and role <> 'orchestrator' then 'is_orchestrator requires role ''orchestrator''' end as error from w",
-    "redact": "select doc_id, source, 'REDACTED' as api_key from documents",
     "model_rows": """select s_name as name, case when s_suppkey % 2 = 0 then s_suppkey * 1000 else 0 end as size, case when s_suppkey % 3 = 0 then '2024-01-01' else '' end as modified_at,
       '{"name":"' || s_name || '"' || case when s_suppkey % 2 = 0 then ',"size":' || s_suppkey * 1000 else '' end || case when s_suppkey % 3 = 0 then ',"modified_at":"2024-01-01"' else '' end || '}' as details from supplier""",
     "generate_request": """select s_suppkey, '{"model":"' || s_name || '","prompt":"hi"' || case when s_suppkey % 2 = 0 then ',"system":"be brief"' else '' end

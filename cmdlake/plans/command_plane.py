@@ -49,14 +49,8 @@ def streaming_agents(spark: SparkSession, d: str) -> DataFrame:
 
     from ..streaming import registry as stream
 
-    conf = spark.sparkContext.getConf()
-    shared = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = f"file://{tempfile.mkdtemp(prefix='cmdlake-stream-')}"
     name = f"agents_{uuid.uuid4().hex}"
-    return stream.run_once(spark, d, name, f"{shared.rstrip('/')}/{name}")
+    return stream.run_once(spark, d, name, f"{stream.shared_folder(spark)}/{name}")
 
 
 def worker_fold(spark: SparkSession, d: str) -> DataFrame:
@@ -158,11 +152,11 @@ QUERIES = {f.__name__: f for f in (
     validate_requests, validate_responses, validate_task_responses, validate_desktop_command,
 )}
 
-_FOLD = """
+FOLD = """
 with c as (select event_id as command_id, ts, user_id as target_id,
     case event_type when 'signup' then 'create_agent' when 'click' then 'execute_task' when 'view' then 'get_agent_status'
       when 'purchase' then 'cancel_task' else 'delete_agent' end as command_type,
-    (props->>'$.k')::bigint as k from events),
+    (props->>'$.k')::bigint as k, props from events),
 s as (select *, max(case when command_type = 'create_agent' then command_id end) over w as made,
     max(case when command_type = 'delete_agent' then command_id end) over w as gone
   from c window w as (partition by target_id order by ts, command_id rows between unbounded preceding and 1 preceding)),
@@ -170,7 +164,7 @@ x as (select command_id from s where command_type = 'execute_task' and coalesce(
 o as (select s.*, case when command_type = 'cancel_task' then command_id - k - 1 end as task_ref,
     case when command_type = 'create_agent' then true when command_type = 'cancel_task' then command_id - k - 1 in (select command_id from x)
       else coalesce(made, -1) > coalesce(gone, -1) end as ok from s),
-a as (select target_id as id, arg_max(k, command_id) filter (command_type = 'create_agent') as k,
+a as (select target_id as id, arg_max(k, command_id) filter (command_type = 'create_agent') as k, arg_max(props, command_id) filter (command_type = 'create_agent') as config,
     max(command_id) filter (command_type = 'create_agent') as made, max(command_id) filter (command_type = 'delete_agent') as gone
   from c group by target_id having coalesce(made, -1) > coalesce(gone, -1)),
 t as (select command_id as task_id, target_id as agent_id,
@@ -179,17 +173,17 @@ t as (select command_id as task_id, target_id as agent_id,
 """
 
 ORACLES = {
-    "command_outcomes": _FOLD + "select command_type, case when ok then 'success' else 'failure' end as status, count(*) as n from o group by 1, 2",
-    "command_responses": _FOLD + """select command_id, case when ok then 'success' else 'failure' end as status,
+    "command_outcomes": FOLD + "select command_type, case when ok then 'success' else 'failure' end as status, count(*) as n from o group by 1, 2",
+    "command_responses": FOLD + """select command_id, case when ok then 'success' else 'failure' end as status,
       case when ok then case command_type when 'create_agent' then 'Agent created with ID ' || target_id when 'execute_task' then 'Task created on agent ' || target_id
         when 'cancel_task' then 'Task ' || task_ref || ' canceled' when 'delete_agent' then 'Agent ' || target_id || ' deleted' end end as message,
       case when not ok then case command_type when 'cancel_task' then 'Task not found: ' || task_ref else 'Agent not found: ' || target_id end end as error from o""",
-    "list_agents": _FOLD + "select id, 'type' || (k % 3) as type, 'running' as status from a",
-    "system_status": _FOLD + "select (select count(*) from a) as agents, (select count(*) from t) as tasks, 'running' as status",
-    "task_status_after_cancel": _FOLD + "select * from t",
-    "agent_status_lookup": _FOLD + """select u.id, case when a.id is not null then 'running' end as status, case when a.id is null then 'Agent not found: ' || u.id end as error
+    "list_agents": FOLD + "select id, 'type' || (k % 3) as type, 'running' as status, config from a",
+    "system_status": FOLD + "select (select count(*) from a) as agents, (select count(*) from t) as tasks, 'running' as status",
+    "task_status_after_cancel": FOLD + "select * from t",
+    "agent_status_lookup": FOLD + """select u.id, case when a.id is not null then 'running' end as status, case when a.id is null then 'Agent not found: ' || u.id end as error
       from (select distinct user_id as id from events) u left join a using (id)""",
-    "streaming_agents": _FOLD + "select id, 'running' as status from a",
+    "streaming_agents": FOLD + "select id, 'running' as status from a",
     "worker_fold": """select user_id as worker_id, case when arg_max(event_type, event_id) = 'signup' then 'idle' else 'processing_task' end as status, 'worker' as role
       from events group by 1 having arg_max(event_type, event_id) <> 'error'""",
     "echo_payload": "select event_id, props as echo from events",

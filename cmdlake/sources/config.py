@@ -98,6 +98,57 @@ def agent_config(path: str | None = None, env: Mapping[str, str] | None = None,
     return out
 
 
+def load_all(tool_path: str | None = None, agent_path: str | None = None, env: Mapping[str, str] | None = None, agent_id: str | None = None) -> tuple[dict[str, Any], dict[str, Any]]:
+    """(agent's, tool's) configuration; whatever goes wrong is a ConfigError."""
+    try:
+        return agent_config(agent_path, env, agent_id), tool_config(tool_path, env)
+    except ConfigError:
+        raise
+    except Exception as e:
+        raise ConfigError(f"failed to load configurations: {e}") from e
+
+
+def tool_ready(found: Mapping[str, Any]) -> str | None:
+    """Why an enabled tool can't be started: no executable, or none on disk."""
+    if not found.get("enabled", True):
+        return None
+    path = found.get("executable_path")
+    if not path:
+        return "executable_path is required when the tool is enabled"
+    return None if os.path.exists(path) else f"executable not found: {path}"
+
+
+def process_env(found: Mapping[str, Any], env: Mapping[str, str] | None = None) -> dict[str, str]:
+    """The environment of a tool: the process's, over it the configured variables, and the key."""
+    out = dict(os.environ if env is None else env) | dict(found.get("environment_variables") or {})
+    return out | ({"MCP_API_KEY": found["api_key"]} if found.get("api_key") else {})
+
+
+#: name, default, kind of the settings of the service and of its client
+API_SETTINGS = (("host", "0.0.0.0", str), ("port", "8000", int), ("api_key", "", str), ("log_level", "INFO", str))
+CLIENT_SETTINGS = (
+    ("api_url", "", str), ("api_key", "", str), ("timeout", "30", int), ("verify_ssl", "true", lambda v: v.lower() == "true"),
+    ("max_retries", "3", int), ("retry_delay", "0.5", float),
+)
+
+
+def env_defaults(settings: tuple, prefix: str, env: Mapping[str, str] | None = None) -> dict[str, Any]:
+    """Settings from variables of a prefix, each with a default and a kind."""
+    env = os.environ if env is None else env
+    try:
+        return {name: kind(env.get(f"{prefix}{name.upper()}", default)) for name, default, kind in settings}
+    except ValueError as e:
+        raise ConfigError(str(e)) from e
+
+
+def client_config(path: str | None = None, env: Mapping[str, str] | None = None, prefix: str = "CMDLAKE_") -> dict[str, Any]:
+    return api_config(path, env, env_defaults(CLIENT_SETTINGS, prefix, env), ("api_url", "api_key"))
+
+
+def service_config(path: str | None = None, env: Mapping[str, str] | None = None, prefix: str = "CMDLAKE_") -> dict[str, Any]:
+    return api_config(path, env, env_defaults(API_SETTINGS, prefix, env))
+
+
 def api_config(path: str | None = None, env: Mapping[str, str] | None = None, defaults: Mapping[str, Any] | None = None, required: tuple[str, ...] = ("api_key",)) -> dict[str, Any]:
     """Defaults from the environment, under the document with its references resolved; required keys must not be empty."""
     out = dict(defaults or {}) | (resolve(load_document(path), env) if path else {})
@@ -124,3 +175,9 @@ def env_file(*paths: str) -> dict[str, str]:
             pairs = (x.split("=", 1) for x in rows if x and not x.startswith("#") and "=" in x)
             return {k.strip(): v.strip().strip("\"'") for k, v in pairs}
     return {}
+
+
+def whole_env(path: str | None = None, env: Mapping[str, str] | None = None) -> dict[str, str]:
+    """The environment with what a .env file adds: the one named, else the first in the working, home or package folder."""
+    places = [path] if path else [str(x / ".env") for x in (Path.cwd(), Path.home(), Path(__file__).resolve().parents[2])]
+    return env_file(*places) | dict(os.environ if env is None else env)

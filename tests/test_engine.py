@@ -50,6 +50,49 @@ def test_flatten_json_of_any_shape(spark):
     assert got == {(1, "a.b.c", "1"), (1, "d", '[1,{"x":2}]'), (1, "z", "3")}
 
 
+def test_flatten_takes_a_million_rows_and_deep_objects(spark):
+    rows = spark.range(1_000_000).select("id", F.format_string('{"a":{"b":%d},"c":"x"}', "id").alias("j"))
+    assert P.flatten_json(rows, "id", "j").agg(F.count("*"), F.count_distinct("path")).first()[:] == (2_000_000, 2)
+    deep = '{"k":' * 300 + "1" + "}" * 300
+    got = P.flatten_json(spark.createDataFrame([(1, deep), (2, '{"a.b":1,"a":{"b":2}}'), (3, "[1]"), (4, None)], "id long, j string"), "id", "j").collect()
+    assert {(r["id"], r["path"], r["value"]) for r in got} == {(1, ".".join("k" * 300), "1"), (2, "a.b", "2")}
+    assert one(spark, P.flatten_text(F.lit('{"a":{"b":[{"c":1}]},"":{"z":null}}')).alias("f"))["f"] == '{"a.b":[{"c":1}],"z":null}'
+
+
+def test_flatten_in_the_dispatcher(spark):
+    r = tasks.internal_operation(F.lit("transform_data"), m(a="1"), F.lit(None).cast("array<string>"), F.lit("flatten"), F.lit(None).cast("string"), F.lit('{"a":{"b":1,"e":{}}}'))
+    assert one(spark, r.alias("r"))["r"]["result"] == '{"transformed_data":{"a.b":1}}'
+
+
+def test_status_trails_and_waiting(spark):
+    row = one(
+        spark, tasks.status_trail(F.lit("initializing"), F.lit("mcp_command"), F.lit(True)).alias("tool"), tasks.status_trail(F.lit("idle"), F.lit("mcp_command"), F.lit(False)).alias("none"),
+        tasks.status_trail(F.lit("error"), F.lit("mcp_command"), F.lit(True)).alias("refused"), routing.handled_by(F.lit(1), F.lit(1), F.lit(True)).alias("me"), routing.handled_by(F.lit(1), F.lit(2), F.lit(None).cast("boolean")).alias("unknown"),
+        routing.handled_by(F.lit(1), F.lit(2), F.lit(True)).alias("other"),
+    )
+    assert row["tool"] == ["initializing", "processing_task", "mcp_tool_busy", "idle", "initializing"]
+    assert row["none"] == ["idle", "processing_task", "idle"] and row["refused"] == ["error"] and (row["me"], row["unknown"], row["other"]) == (1, 1, 2)
+    asked = spark.createDataFrame([(1, 9, 5, False), (2, 9, None, False), (3, 9, 0, False), (4, 9, 5, True)], "task_id long, worker_id long, timeout_seconds int, is_async boolean")
+    came = spark.createDataFrame([(1, "completed", 6), (2, "failed", 60), (4, "completed", 1)], "task_id long, status string, after int")
+    got = {r["task_id"]: (r["status"], r["error"], r["waited"]) for r in routing.awaited(asked, came).collect()}
+    late = "Failed to get response from worker 9"
+    assert got == {1: ("failed", late, 5), 2: ("failed", None, 60), 3: ("failed", late, 60), 4: ("pending", None, 0)}
+
+
+def test_fixed_delay_and_external_programs(spark):
+    from cmdlake.operators import external
+
+    rows = [(1, 0, 1, "a"), (1, 1, 0, " b "), (2, 0, 1, " c "), (2, 1, 2, "d"), (3, 0, 1, "x")]
+    got = {r["call_id"]: r[1:] for r in retry.tool_outcome(spark.createDataFrame(rows, "call_id long, attempt int, exit_code int, output string"), 1, 2.0).collect()}
+    assert got[1] == (1, True, "b", None, 2.0) and got[2] == (1, False, None, "MCP command failed with exit code 2: d", 2.0) and got[3][1] is False
+    calls = spark.createDataFrame([(1, "-c", ['echo "{\\"a\\":1}"']), (2, "-c", ["echo $X"]), (3, "-c", ["echo bad >&2; exit 3"]), (4, "-c", ["sleep 5"])], "call_id long, command string, args array<string>")
+    with pytest.raises(PermissionError):
+        external.run_commands(calls, "/bin/sh")
+    got = {r["call_id"]: r for r in external.run_commands(calls, "/bin/sh", {"X": "y"}, timeout=1, retries=1, delay=0, allow=True).collect()}
+    assert json.loads(got[1]["output"]) == {"a": 1} and json.loads(got[2]["output"]) == {"stdout": "y"}
+    assert got[3]["error"].endswith("exit code 3: bad") and got[3]["attempts"] == 2 and "timed out" in got[4]["error"]
+
+
 def test_rules_tell_absent_from_null(spark):
     t, none = F.lit(True), F.lit(None).cast("string")
     row = one(
@@ -105,6 +148,66 @@ def test_client(spark):
     assert c.send_command("create_agent", api_key="k")["error"] == "Agent type is required"
 
 
+def test_service_answers_and_command_line(spark, tmp_path, capsys):
+    from cmdlake import api
+
+    c = CommandCenter(spark)
+    a = c.create_from_body({"type": "x", "name": "n"})["agent_id"]
+    b = c.create_from_body({"type": "x", "agent_type": "y"})["agent_id"]
+    assert c.agent_status(a)["type"] == "x" and c.agent_status(b)["type"] == "y"
+    assert json.loads(c.agent_response(a)["status"]["status"]["config"])["name"] == "n" and c.agent_response("none") == {"agent_id": "none", "error": "Agent not found: none"}
+    assert len(c.agents_response()["agents"]) == 2 and "/health" in c.info()["endpoints"] and c.host()["system"]
+    c.spark = None
+    assert c.agents_response()["agents"] == [] and c.agents_response()["error"]
+    body, task, raw, log = (str(tmp_path / x) for x in ("b.json", "t.json", "r.json", "log"))
+    for path, text in ((body, '{"type": "z"}'), (task, '{"task_type": "t"}'), (raw, '{"command_id": "mine", "command_type": "get_system_status"}')):
+        open(path, "w").write(text)
+    assert api.main(["--log", log, "create-agent", body], spark) == 0
+    agent = json.loads(capsys.readouterr().out)["agent_id"]
+    assert api.main(["--log", log, "execute-task", agent, task], spark) == 0 and json.loads(capsys.readouterr().out)["task_id"] == 2
+    assert api.main(["--log", log, "raw-command", raw], spark) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert out["command_id"] == "mine" and out["result"] == {"agents": 1, "tasks": 1, "status": "running"}
+    assert api.main(["--log", log, "agent-status", "nobody"], spark) == 1 and api.main(["execute-task", agent, "/nowhere"], spark) == 1
+    assert api.main(["--log", log, "list-agents"], spark) == 0 and api.main(["health"], spark) == 0 and api.main([], spark) == 0
+
+
+def test_models_through_a_transport():
+    from cmdlake import api
+
+    def server(method, path, body):
+        if path == "/api/tags":
+            return 200, '{"models":[{"name":"a"},{"name":"b","size":3}]}'
+        if body == {"name": "slow"}:
+            raise TimeoutError("late")
+        if body == {"name": "off"}:
+            raise ConnectionRefusedError("refused")
+        return (404, '{"error":"no such model"}') if body["name"] == "x" else (200, "pulled")
+
+    assert [(m["name"], m["size"]) for m in api.list_models(server)] == [("a", 0), ("b", 3)]
+    assert api.pull_model(server, "ok", insecure=True) == {"text": "pulled"}
+    for name, kind in (("slow", api.TimedOutError), ("off", api.UnreachableError), ("x", api.ApiError)):
+        with pytest.raises(kind):
+            api.pull_model(server, name)
+
+
+def test_streams_answer_and_fold_over_several_batches(spark, tmp_path):
+    from cmdlake.streaming import registry as stream
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    folder = str(tmp_path / "events")
+    for k in range(3):
+        e.where(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(folder)
+    agents = stream.run_once(spark, folder, "a", str(tmp_path / "ca"), "*.parquet")
+    assert sorted(r["id"] for r in agents.collect()) == sorted(r["id"] for r in registry.agents(stream.commands(e)).collect())
+    answered = stream.run_answers(spark, folder, "b", str(tmp_path / "cb"), "*.parquet", change=lambda x: x.withColumn("command_type", F.when(F.col("command_id") % 10 > 0, F.col("command_type"))))
+    assert answered.count() == e.count() and answered.where("error like 'Error processing command%'").count() == e.where("event_id % 10 = 0").count()
+    assert stream.run_tasks(spark, folder, "c", str(tmp_path / "cc"), "*.parquet").count() == e.where("event_type = 'click'").count()
+    live = stream.to_table(stream.answers(stream.command_stream(spark, folder, "*.parquet")), str(tmp_path / "live"), str(tmp_path / "cl"), "append", "1 second")
+    stream.stop(live)
+    assert not live.isActive
+
+
 def test_config(tmp_path):
     (tmp_path / "a.YAML").write_text("mcp:\n  enabled: false\n  timeout_seconds: 5\n")
     (tmp_path / "b.json").write_text('{"api_key": "${KEY}", "hosts": ["${H}", {"x": "${H}"}, 3]}')
@@ -117,7 +220,15 @@ def test_config(tmp_path):
     assert config.agent_config(None, env, "me") == {"name": "n", "is_orchestrator": True, "agent_id": "me"}
     assert config.load_document(str(tmp_path / "e.yml")) == {} and len(config.roster(str(tmp_path / "r.yml"))) == 2
     assert config.env_file(str(tmp_path / "none"), str(tmp_path / ".env")) == {"A": "1", "B": "two"}
-    for bad in (lambda: config.load_document("x.txt"), lambda: config.roster(str(tmp_path / "a.YAML")), lambda: config.agent_config(None, {}), lambda: config.api_config(None, env)):
+    agent, tool = config.load_all(str(tmp_path / "a.YAML"), None, env, "me")
+    assert agent["agent_id"] == "me" and tool["timeout_seconds"] == 9
+    assert config.tool_ready({}) and config.tool_ready({"executable_path": "/none"}) and not config.tool_ready({"executable_path": "/bin/sh"}) and not config.tool_ready({"enabled": False})
+    assert config.process_env({"environment_variables": {"A": "2"}, "api_key": "k"}, {"A": "1", "B": "1"}) == {"A": "2", "B": "1", "MCP_API_KEY": "k"}
+    client = config.client_config(None, {"X_API_URL": "u", "X_API_KEY": "k", "X_VERIFY_SSL": "1", "X_TIMEOUT": "5"}, "X_")
+    assert client == {"api_url": "u", "api_key": "k", "timeout": 5, "verify_ssl": False, "max_retries": 3, "retry_delay": 0.5}
+    assert config.service_config(str(tmp_path / "b.json"), env)["port"] == 8000
+    assert config.whole_env(str(tmp_path / ".env"), {"A": "own"}) == {"A": "own", "B": "two"}
+    for bad in (lambda: config.load_all(None, None, {}), lambda: config.client_config(None, {"X_TIMEOUT": "soon"}, "X_"), lambda: config.client_config(None, {}, "X_"), lambda: config.load_document("x.txt"), lambda: config.roster(str(tmp_path / "a.YAML")), lambda: config.agent_config(None, {}), lambda: config.api_config(None, env)):
         with pytest.raises(config.ConfigError):
             bad()
 
