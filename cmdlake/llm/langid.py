@@ -6,12 +6,11 @@ and the next shorter context is asked, down to a uniform code. The statistics ar
 all code lengths are tabulated and a text's exact length is a sum of table entries. The shortest code names
 the language; the score is its share of the probability.
 
-Learning counts every labelled row, except those held out. Bounds of the model: MAX_SYMBOLS byte values,
-the commonest, stand for themselves, the rest share one symbol; MAX_LANGS languages, the commonest.
+Learning counts every labelled row, except those held out: all byte values, all languages.
 
 Null texts and texts without a letter give ``und`` and 0.0, as do all texts when nothing is labelled; rows
-without a label are scored but not learned from; equal texts get equal answers; ties go to the smaller
-language name; an empty table gives an empty result.
+without a label are scored but not learned from; texts are read whole however long; equal texts get equal answers; ties go to
+the smaller language name; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +25,6 @@ from pyspark.sql import functions as F
 from .arrays import flat, slices
 from .common import ship, table
 
-MAX_SYMBOLS = 127
-MAX_LANGS = 64
 HELD_OUT = 2
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -79,30 +76,36 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Frozen code lengths: lengths[k] has, for language k, the bits of every (context, symbol)."""
+    """Frozen code lengths, in bits.
+
+    Of a byte after one: a table of 2^16 for each language, escapes worked in. After two: a row for every
+    three bytes seen in any language, and what the escape from each two bytes costs.
+    """
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
         self.langs = langs
-        by_byte = np.bincount(gram & 255, n, 256)
-        kept = np.sort(np.argsort(-by_byte, kind="stable")[:MAX_SYMBOLS])
-        kept = kept[by_byte[kept] > 0]
-        a = self.base = len(kept) + 1  # symbol 0: any other byte
-        self.symbol = np.zeros(256, np.uint8)
-        self.symbol[kept] = np.arange(1, a)
-        s = self.symbol.astype(np.int64)
-        code = (s[gram >> 16] * a + s[(gram >> 8) & 255]) * a + s[gram & 255]
-        self.lengths = np.empty((len(langs), a**3), np.float32)
-        uniform = np.full(a, 1 / 256)
-        uniform[0] = (257 - a) / 256
+        self.seen = np.unique(gram)
+        #: place among the seen ones plus one, by three bytes; only the pages of codes that occur take memory
+        self.slot = np.zeros(1 << 24, np.int32)
+        self.slot[self.seen] = np.arange(1, len(self.seen) + 1)
+        self.one = np.empty((len(langs), 1 << 16), np.float32)
+        self.escape = np.zeros((len(langs), 1 << 16), np.float32)
+        self.lengths = np.zeros((len(langs), len(self.seen) + 1), np.float32)
+        two = self.seen >> 8
         for k in range(len(langs)):
-            mine = lang == k
-            c2 = np.bincount(code[mine], n[mine], a**3).reshape(a * a, a)
-            c1 = c2.reshape(a, a, a).sum(0)
-            c0 = c1.sum(0, keepdims=True)
-            p = self._level(c0, uniform[None, :])
-            p = self._level(c1, p)
-            p = self._level(c2, np.tile(p, (a, 1)))
-            self.lengths[k] = -np.log2(p).ravel()
+            mine, count = gram[lang == k], n[lang == k]
+            c1 = np.bincount(mine & 0xFFFF, count, 1 << 16).reshape(256, 256)
+            p = self._level(c1.sum(0, keepdims=True), np.full((1, 256), 1 / 256))
+            p1 = self._level(c1, p).ravel()
+            self.one[k] = -np.log2(p1)
+            own = np.bincount(np.searchsorted(self.seen, mine), count, len(self.seen))
+            total, kinds = np.bincount(two, own, 1 << 16), np.bincount(two[own > 0], minlength=1 << 16)
+            known = total > 0
+            out = np.ones(1 << 16)
+            out[known] = kinds[known] / (total + kinds)[known]
+            self.escape[k] = -np.log2(out)
+            p2 = np.where(own > 0, own / np.maximum(total + kinds, 1)[two], out[two] * p1[self.seen & 0xFFFF])
+            self.lengths[k, 1:] = -np.log2(p2)
 
     @staticmethod
     def _level(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -116,9 +119,14 @@ class Model:
         out = np.zeros((len(self.langs), len(offsets) - 1))
         full = np.flatnonzero(np.diff(offsets) > 0)
         if len(full):
-            codes = contexts(self.symbol[data], offsets, self.base, int(self.symbol[32]))
+            codes = contexts(data, offsets, 256, 32)
+            slot = self.slot[codes]
+            new = np.flatnonzero(slot == 0)
+            two, one = codes[new] >> 8, codes[new] & 0xFFFF
             for k, lengths in enumerate(self.lengths):
-                out[k, full] = np.add.reduceat(lengths[codes], offsets[full], dtype=np.float64)
+                each = lengths[slot]
+                each[new] = self.escape[k][two] + self.one[k][one]
+                out[k, full] = np.add.reduceat(each, offsets[full], dtype=np.float64)
         return out
 
 
@@ -136,39 +144,24 @@ def _model(shared) -> Model | None:
 
 
 def learn(labelled: DataFrame):
-    """Counts of the commonest languages, broadcast. Bound: MAX_LANGS languages of MAX_SYMBOLS + 1 symbols, cubed."""
+    """The counts of all labelled rows, broadcast: a row for each kind of three bytes in a language, 2^24 a language at most; texts bring some 10^5."""
     import uuid
 
     spark = labelled.sparkSession
     ship(spark)
-    counts = gram_counts(labelled).cache()
-    top = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
-    common = counts.groupBy((F.col("gram") % 256).alias("byte")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "byte").limit(MAX_SYMBOLS).collect()
-    keep = {r["byte"] for r in common}
-    other = next((b for b in range(256) if b not in keep), 0)
-
-    def folded(byte: Column) -> Column:
-        return F.when(byte.isin(*keep), byte).otherwise(other)
-
-    langs = sorted(top)
-    if not langs:
-        counts.unpersist()
-        return spark.sparkContext.broadcast((uuid.uuid4().hex, [], None, None, None))
-    g = F.col("gram")
-    b2, b1, b0 = folded(F.shiftright(g, 16)), folded(F.shiftright(g, 8) % 256), folded(g % 256)
-    rows = (
-        counts.where(F.col("lang").isin(*langs)).groupBy("lang", ((b2 * 256 + b1) * 256 + b0).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
-    )
-    counts.unpersist()
-    lang = rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, langs, lang, rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)))
+    rows = gram_counts(labelled).toArrow()
+    names = rows.column("lang").to_pylist()
+    langs = sorted(set(names))
+    place = {x: i for i, x in enumerate(langs)}
+    lang = np.array([place[x] for x in names], np.int64)
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, langs, lang, rows.column("gram").to_numpy(), rows.column("n").to_numpy().astype(np.float64)))
 
 
 def predict(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, with lang_pred, score and bits_per_byte, from text alone."""
+    """The columns keep of docs, with lang_pred, score, bits_per_byte and lettered, from text alone."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType()), T.StructField("lettered", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared)
@@ -176,7 +169,7 @@ def predict(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
             text = batch.column(batch.num_columns - 1)
             data, offsets = flat(text)
             preds: list[str] = []
-            scores, rates = np.zeros(len(text)), np.zeros(len(text))
+            scores, rates, lettered = np.zeros(len(text)), np.zeros(len(text)), np.zeros(len(text), bool)
             for i, j, d, o in slices(data, offsets):
                 sizes = np.diff(o)
                 letter = np.zeros(j - i, bool)
@@ -185,6 +178,7 @@ def predict(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
                     letter[full] = np.logical_or.reduceat(_ASCII_LETTER[d], o[full])
                 for r in np.flatnonzero(~letter & (sizes > 0)):
                     letter[r] = any(c.isalpha() for c in text[i + int(r)].as_py())
+                lettered[i:j] = letter
                 if model is None:
                     preds += ["und"] * (j - i)
                     continue
@@ -194,7 +188,7 @@ def predict(docs: DataFrame, shared, keep: list[str]) -> DataFrame:
                 preds += [model.langs[b] if ok else "und" for b, ok in zip(best, letter, strict=True)]
                 scores[i:j] = np.where(letter, share, 0)
                 rates[i:j] = bits.min(0) / np.maximum(sizes, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores), pa.array(rates)], [*keep, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores), pa.array(rates), pa.array(lettered)], [*keep, "lang_pred", "score", "bits_per_byte", "lettered"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -207,9 +201,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows that get ``und``."""
+    """docs without the rows whose language nothing tells: no text, or no letter. With nothing to learn from, lettered rows stay."""
     shared = learn(docs.where((fold() != HELD_OUT) & F.col("lang").isNotNull()))
     # under names of their own: docs may have columns named as the predictions are
     own = {c: f"_{k}" for k, c in enumerate(docs.columns)}
     out = predict(docs.select(*[F.col(c).alias(x) for c, x in own.items()], "text"), shared, list(own.values()))
-    return out.where("lang_pred <> 'und'").select(*[F.col(x).alias(c) for c, x in own.items()])
+    return out.where("lettered").select(*[F.col(x).alias(c) for c, x in own.items()])

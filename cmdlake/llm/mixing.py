@@ -17,7 +17,8 @@ bounded size (sources x 256 rows, or x 769 for shards); prefix sums over documen
 65,536 random slices of a source.
 
 Null texts have size 0 and are never taken; a null source is a source of its own, last in order; repeated
-rows of one doc_id are taken together; an empty table gives an empty result; extra columns pass through, but for
+rows of one doc_id are taken together; texts are counted whole however long; ties in the order of keys are none, as equal
+keys are taken together; an empty table gives an empty result; extra columns pass through, but for
 those named as the columns that ``draws`` adds.
 """
 
@@ -183,23 +184,28 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def draws(docs: DataFrame, made: Plan | None = None) -> DataFrame:
-    """docs with size, source_size, target and draws: array<struct<in_pass, shard>>, one for each time the row is taken."""
+    """docs with size, source_size, target and draws: array<struct<in_pass, shard>>, one for each time the row is taken.
+
+    Columns of docs by these four names are replaced; all others pass, whatever their names.
+    """
     made = made or plan(docs)
-    docs = docs.drop("size", "source_size", "target", "draws")
-    rows = docs.withColumns({"_s": _source_key(F.col("source")), "_key": doc_key(F.col("doc_id")), "size": n_words(F.col("text"))})
-    rows = rows.withColumn("_block", F.substring("_key", 1, 2))
-    rows = rows.join(_small(made.sources.select(F.col("s").alias("_s"), "source_size", "target", F.col("full").alias("_full"), F.col("upto").alias("_upto"), F.col("last_block").alias("_last"), F.col("more").alias("_more"))), "_s")
-    rows = rows.join(_small(made.shards.select(F.col("s").alias("_s"), F.col("block").alias("_block"), F.col("dealt").alias("_dealt"))), ["_s", "_block"], "left")
-    topped = F.array_contains("_more", F.col("_key"))
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "draws")]
+    rows = docs.select(F.struct(*kept).alias("row"), _source_key(F.col("source")).alias("s"), doc_key(F.col("doc_id")).alias("key"), n_words(F.col("text")).alias("size"))
+    rows = rows.withColumn("block", F.substring("key", 1, 2))
+    rows = rows.join(_small(made.sources.select("s", "source_size", "target", "full", "upto", "more")), "s")
+    rows = rows.join(_small(made.shards.select("s", "block", "dealt")), ["s", "block"], "left")
+    topped = F.array_contains("more", F.col("key"))
     if made.extra is not None:
-        rows = rows.join(_small(made.extra.select(F.col("s").alias("_s"), F.col("key").alias("_key"), F.lit(True).alias("_extra"))), ["_s", "_key"], "left")
-        topped = topped | F.coalesce("_extra", F.lit(False))
-    last = (F.col("size") > 0) & ((F.col("_key") <= F.col("_upto")) | topped)
-    whole = F.filter(F.coalesce("_dealt", F.array().cast(made.shards.schema["dealt"].dataType)), lambda x: x["in_pass"] <= F.col("_full"))
-    shard = F.try_element_at(F.transform(F.filter("_dealt", lambda x: x["in_pass"] > F.col("_full")), lambda x: x["shard"]), F.lit(1))
-    one = F.array(F.struct((F.col("_full") + 1).alias("in_pass"), F.coalesce(shard, F.lit(0)).alias("shard")))
+        rows = rows.join(_small(made.extra.select("s", "key", F.lit(True).alias("extra"))), ["s", "key"], "left")
+        topped = topped | F.coalesce("extra", F.lit(False))
+    last = (F.col("size") > 0) & ((F.col("key") <= F.col("upto")) | topped)
+    whole = F.filter(F.coalesce("dealt", F.array().cast(made.shards.schema["dealt"].dataType)), lambda x: x["in_pass"] <= F.col("full"))
+    shard = F.try_element_at(F.transform(F.filter("dealt", lambda x: x["in_pass"] > F.col("full")), lambda x: x["shard"]), F.lit(1))
+    one = F.array(F.struct((F.col("full") + 1).alias("in_pass"), F.coalesce(shard, F.lit(0)).alias("shard")))
     taken = F.when(F.col("size") <= 0, F.array().cast(made.shards.schema["dealt"].dataType)).when(last, F.concat(whole, one)).otherwise(whole)
-    return rows.withColumn("draws", taken).drop("_s", "_key", "_block", "_full", "_upto", "_last", "_more", "_dealt", "_extra")
+    # a step of its own: inside a function of arrays a name would be taken for one of row's
+    rows = rows.select("row", "size", "source_size", "target", taken.alias("draws"))
+    return rows.select("row.*", "size", "source_size", "target", "draws")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -210,9 +216,11 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix with the columns of docs, whatever their names."""
-    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
-    return mixed(rows).select("_row.*")
+    """The mix with the columns of docs, whatever their names: shard after shard, shuffled within each."""
+    rows = mixed(docs.select("doc_id", "source", "text", F.struct("*").alias("_row")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("shard", "order_key", "_row").repartitionByRange(parts, "shard", "order_key").sortWithinPartitions("shard", "order_key")
+    return dealt.select("_row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of a text is addressed by the SHA-256 of its bytes. A scan reads only those
-(blob, rule version) pairs that the ledger does not hold, once per distinct blob however many
-paths carry it, and findings are joined back to all paths. All steps are DataFrame functions.
+Every version of a text is addressed by the SHA-256 of its bytes. The ledger is a table that stays: a scan reads only
+those (blob, rule version) pairs that it does not hold, once per distinct blob however many paths and versions carry it,
+appends them, and findings are joined back to all paths and versions. All steps are DataFrame functions.
 
-Null texts count as empty; empty texts have no findings; equal texts share one blob; extra columns
-are ignored; an empty table gives an empty result.
+Rows of versions need a text; a path, a version and all else pass through. Null texts count as empty; empty texts have no
+findings; texts are scanned whole however long; equal texts share one blob, repeated rows are versions of their own; of matches that start
+at one place the kind listed first stands first; columns named blob and findings are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,9 +84,31 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str
     return blobs.select("blob", F.lit(rule_version).alias("rule_version"), F.array_sort(F.concat(*parts)).alias("findings"))
 
 
-def written(ledger: DataFrame) -> DataFrame:
-    """The ledger as a table: read again it joins without an aggregate between, so a blob on very many paths can be split."""
-    return Workspace(ledger.sparkSession, "ledger").write(ledger, "ledger")
+LEDGER = "blob string, rule_version string, findings array<struct<start:int,kind_no:int,kind:string,end:int>>"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger below path, empty where there is none; a pair that two runs appended at once counts once."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def update_ledger(versions: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Appends what the ledger below path lacks of versions, and gives it back, one row for each blob of this rule version.
+
+    Without a path the ledger lives as long as the program. Read from its table it joins without an aggregate
+    between, so a blob on very many paths can be split.
+    """
+    spark = versions.sparkSession
+    path = path or f"{Workspace(spark, 'ledger').root}/ledger"
+    known = read_ledger(spark, path)
+    scan(versions, rules, rule_version, known).write.mode("append").option("compression", "zstd").parquet(path)
+    ledger = read_ledger(spark, path).where(F.col("rule_version") == rule_version)
+    if ledger.groupBy("blob").count().where("count > 1").isEmpty():
+        return ledger
+    return Workspace(spark, "ledger").write(ledger.dropDuplicates(["blob"]), "single")
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -118,7 +141,7 @@ def _of_kind(kind: str):
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    by_path = findings_by_path(docs, written(scan(docs))).select("doc_id", "findings")
+    by_path = findings_by_path(docs, update_ledger(docs)).select("doc_id", "findings")
     base = F.filter("findings", lambda x: x["kind_no"] < len(BASE_RULES))
     counts = [F.size(F.filter("findings", _of_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
     return by_path.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))

@@ -1,6 +1,8 @@
 """Stages of the corpus pipeline: each applies one operator's decisions to whole documents.
 
-Columns of documents: doc_id, text, lang, source, n_chars. Further columns pass through where rows are kept.
+Columns of documents: doc_id, text, lang, source, n_chars. Further columns pass through where rows are kept, whatever
+their names. In every stage null texts count as empty, texts are taken whole however long, repeated rows and ties are treated as
+the operator's module says, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Every finding is replaced by its kind in brackets; documents without findings stay as they are."""
     from . import secrets
 
-    found = secrets.findings_by_path(docs.select("text", F.struct("*").alias("_row")), secrets.written(secrets.scan(docs)))
+    found = secrets.findings_by_path(docs.select("text", F.struct("*").alias("_row")), secrets.update_ledger(docs))
     hit = F.size("findings") > 0
     text = F.when(hit, secrets.redact(F.col("text"), F.col("findings"))).otherwise(F.col("text"))
     changed = {"text": text}

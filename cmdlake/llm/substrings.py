@@ -224,19 +224,20 @@ def repeat_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
     """(rid, start, end) of stretches that docs (rid, text) repeat; they overlap and touch."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = ws.write(anchor_rows(docs), "anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # dealt anew, so that both sides of a join are plain exchanges, which adaptive execution splits at a frequent hash
+    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").repartition(parts)
     rows = ws.write(found.join(again, "h", "left_semi"), "repeated")
     ws.drop(found)
     alike = ws.write(rows.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rid", "off", "l", "r")).alias("one")), "contexts")
     whole = rows.where(F.col("l") + F.col("r") >= LEAST).join(alike.where("n > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
     whole = ws.write(whole.select("rid", (F.col("off") - F.col("l")).alias("start"), (F.col("off") + F.col("r")).alias("end")), "whole")
-    groups = alike.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    groups = alike.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").repartition(parts)
     wanted = alike.join(groups.select("h", (F.col("kinds") > HOT).alias("hot")), "h").select("h", "one.*", (F.col("n") == 1).alias("single"), "hot")
     bytes_ = ws.write(read_contexts(docs, wanted), "bytes")
     ws.drop(rows, alike)
     spans = ws.write(group_spans(bytes_.where("not hot"), parts), "spans")
     windows = bytes_.where("hot").select("h", "rid", "off").distinct()
-    often = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    often = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").repartition(parts)
     hot = ws.write(windows.join(often, "h", "left_semi").select("rid", F.col("off").alias("start"), (F.col("off") + LEAST).alias("end")), "windows")
     ws.drop(bytes_)
     return whole.union(spans).union(hot)
