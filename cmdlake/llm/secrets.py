@@ -76,10 +76,9 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str
     Copies are combined before the shuffle, so a blob with very many paths is not gathered anywhere.
     """
     text = F.coalesce("text", F.lit(""))
-    new = versions.select(F.sha2(text, 256).alias("blob"), text.alias("body"))
+    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("body")).groupBy("blob").agg(F.first("body").alias("body"))
     if ledger is not None:
-        new = new.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    blobs = new.groupBy("blob").agg(F.first("body").alias("body"))
+        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     parts = [F.coalesce(spans_of(F.col("body"), r, i), F.array()) for i, r in enumerate(rules)]
     return blobs.select("blob", F.lit(rule_version).alias("rule_version"), F.array_sort(F.concat(*parts)).alias("findings"))
 
