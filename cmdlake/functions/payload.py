@@ -6,10 +6,12 @@ import json
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 
 def last_wins(keys: Column, values: Column) -> Column:
     """A map of two arrays; a key that comes again keeps its first place and gets the last value."""
@@ -137,6 +139,8 @@ def flat_items(record: dict) -> dict:
 
 def _flattened(as_text: bool):
     """An Arrow function from JSON objects to flat ones; objects nest to any depth, which no fixed plan covers."""
+    ship(SparkSession.active())
+
     def one(text: str | None) -> str | None:
         if text is None:
             return None

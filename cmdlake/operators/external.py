@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 RESULT = "call_id long, ok boolean, output string, error string, attempts int"
 
 
@@ -43,6 +45,7 @@ def run_commands(calls: DataFrame, executable: str, env: dict[str, str] | None =
     """RESULT for each of calls (call_id, command, args array<string>). A program may run again when a task does."""
     if not allow:
         raise PermissionError("running external programs must be allowed explicitly")
+    ship(calls.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -19,3 +23,11 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=DEFAULTS | conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a session: they may start in another folder or on another machine."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if not getattr(context, "_cmdlake_shipped", False) and (root / "cmdlake").is_dir():
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='cmdlake-')}/cmdlake", "zip", root, "cmdlake"))
+        context._cmdlake_shipped = True

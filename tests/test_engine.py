@@ -1,6 +1,10 @@
 """Edge cases of the command engine on literal rows, and the facade, sources and streams."""
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +247,16 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_workers_find_the_package_wherever_the_session_starts(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    code = f"""import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+from cmdlake import catalog
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", len(catalog.queries()["flatten_open"](spark, "/root/testdata/sf0.001").collect()))"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("rows")[1]) > 0
