@@ -13,12 +13,16 @@ bytes before and r after. All intervals of an anchor hold its gram, so their uni
 
 Groups over HOT contexts are split by the hashes of the windows themselves, which spread over all tasks.
 
+``maximal_repeats`` gives the groups themselves: each string of LEAST bytes or more, as far as contexts reach, that no
+byte to the left or right extends at all of its places, with all of those. ``drop_repeats`` needs only how far they reach.
+
 Null texts count as empty; texts under LEAST bytes lose nothing, nor does an empty table; repeated rows are copies of
 each other and lose all they share; ties between equal contexts keep none; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,7 +163,59 @@ def extents(right: np.ndarray, nr: np.ndarray, left: np.ndarray, nl: np.ndarray,
     return before, after
 
 
+def maximal(right: np.ndarray, nr: np.ndarray, left: np.ndarray, nl: np.ndarray, lcp: np.ndarray, single: np.ndarray, least: int = LEAST) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(bytes before, bytes after, places) of the maximal repeats of one group, in the order and form of extents.
+
+    Inside an interval the left extensions form a tree of their own, scanned alike. Its nodes part to the left; those whose places
+    lie in several children of the interval part to the right too. A context that recurs is a repeat by itself, unless another place shares all of it.
+    """
+    shown, rank = np.zeros(len(nr), bool), np.empty(len(nl), np.int64)
+    rank[np.lexsort((nl, left.copy().view(f"S{left.shape[1]}").ravel()))] = np.arange(len(nl))
+    for depth, first, last in intervals(lcp):
+        if depth < GRAM:
+            continue
+        child = np.concatenate([[0], np.cumsum(lcp[first:last] == depth)])
+        members = first + np.argsort(rank[first : last + 1])
+        shared = _reach(left[members[1:]], left[members[:-1]], nl[members[1:]], nl[members[:-1]])
+        for before, a, b in intervals(shared):
+            places = members[a : b + 1]
+            kids = child[places - first]
+            if before + depth >= least and (kids != kids[0]).any():
+                shown[places[(nl[places] == before) & (nr[places] == depth)]] = True
+                yield before, depth, places
+    for k in np.flatnonzero(~single & ~shown & (nl + nr >= least)):
+        yield int(nl[k]), int(nr[k]), np.array([k])
+
+
 SPANS = "rid long, start long, end long"
+REPEATS = "h long, rid long, off long, repeat string, before int, after int"
+
+
+def group_repeats(contexts: DataFrame, parts: int) -> DataFrame:
+    """REPEATS: each context (h, rid, off) with each maximal repeat of its group that it holds, named by a 128-bit hash of its bytes.
+
+    A repeat comes from the anchors of windows inside it, which all its places share, so none of these is missing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in whole_runs(batches, ["h"]):
+            right, nr = _padded(batch.column("right"), LEAST)
+            left, nl = _padded(batch.column("left"), LEFT)
+            h, rid, off, single = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "rid", "off", "single"))
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                z = slice(s, e)
+                lcp = _reach(right[s + 1 : e], right[s : e - 1], nr[s + 1 : e], nr[s : e - 1])
+                for before, after, places in maximal(right[z], nr[z], left[z], nl[z], lcp, single[z]):
+                    one = s + places[0]
+                    data = np.concatenate([left[one, :before][::-1], right[one, :after]])
+                    if before in anchors(data):
+                        n, at = len(places), s + places
+                        name = hashlib.blake2b(data.tobytes(), digest_size=16).hexdigest()
+                        cols = [h[at], rid[at], off[at], [name] * n, np.full(n, before, np.int32), np.full(n, after, np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "rid", "off", "repeat", "before", "after"])
+
+    dealt = contexts.select("h", "rid", "off", "single", "left", "right").repartition(parts, "h")
+    return dealt.sortWithinPartitions("h", "right", "rid", "off").mapInArrow(run, REPEATS)
 
 
 def group_spans(contexts: DataFrame, parts: int) -> DataFrame:
@@ -220,15 +276,28 @@ def row_id() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def repeat_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """(rid, start, end) of stretches that docs (rid, text) repeat; they overlap and touch."""
+def repeated_contexts(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Anchors of docs (rid, text) whose gram recurs, and their different contexts: (h, ctx, n, one of their places)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = ws.write(anchor_rows(docs), "anchors")
     # dealt anew, so that both sides of a join are plain exchanges, which adaptive execution splits at a frequent hash
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").repartition(parts)
     rows = ws.write(found.join(again, "h", "left_semi"), "repeated")
     ws.drop(found)
-    alike = ws.write(rows.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rid", "off", "l", "r")).alias("one")), "contexts")
+    return rows, ws.write(rows.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rid", "off", "l", "r")).alias("one")), "contexts")
+
+
+def frequent_windows(bytes_: DataFrame, parts: int) -> DataFrame:
+    """(h, rid, off) of the windows of hot groups that start at several places."""
+    windows = bytes_.where("hot").select("h", "rid", "off").distinct()
+    often = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").repartition(parts)
+    return windows.join(often, "h", "left_semi")
+
+
+def repeat_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """(rid, start, end) of stretches that docs (rid, text) repeat; they overlap and touch."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, alike = repeated_contexts(docs, ws)
     whole = rows.where(F.col("l") + F.col("r") >= LEAST).join(alike.where("n > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
     whole = ws.write(whole.select("rid", (F.col("off") - F.col("l")).alias("start"), (F.col("off") + F.col("r")).alias("end")), "whole")
     groups = alike.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").repartition(parts)
@@ -236,13 +305,40 @@ def repeat_spans(docs: DataFrame, ws: Workspace) -> DataFrame:
     bytes_ = ws.write(read_contexts(docs, wanted), "bytes")
     ws.drop(rows, alike)
     spans = ws.write(group_spans(bytes_.where("not hot"), parts), "spans")
-    windows = bytes_.where("hot").select("h", "rid", "off").distinct()
-    often = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").repartition(parts)
-    hot = ws.write(windows.join(often, "h", "left_semi").select("rid", F.col("off").alias("start"), (F.col("off") + LEAST).alias("end")), "windows")
+    hot = ws.write(frequent_windows(bytes_, parts).select("rid", F.col("off").alias("start"), (F.col("off") + LEAST).alias("end")), "windows")
     ws.drop(bytes_)
     return whole.union(spans).union(hot)
 
 
+def maximal_repeats(docs: DataFrame) -> DataFrame:
+    """(repeat, n_bytes, doc_id, start, end): each place in docs (doc_id, text) of each maximal repeat; repeat names its bytes.
+
+    Contexts bound what is seen, LEFT bytes before an anchor and LEAST after it; a longer repeat comes as several. A repeated row
+    lists its places again. Groups over HOT contexts give the windows of LEAST bytes that recur, which need no task for a group.
+    Rows out are at most those of the anchors' intervals, which may be many more than anchors: this is the report, not the way to drop.
+    """
+    ws, parts = Workspace(docs.sparkSession, "repeats"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", row_id())
+    rows, alike = repeated_contexts(docs, ws)
+    large = ws.write(alike.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("h"), "large")
+    fields = ["h", "rid", "off", "l", "r", "single", "hot"]
+    some = alike.join(large, "h", "left_anti").select("h", "one.*", (F.col("n") == 1).alias("single"), F.lit(False).alias("hot")).select(fields)
+    every = rows.join(large, "h", "left_semi").withColumns({"single": F.lit(True), "hot": F.lit(True)}).select(fields)
+    texts = docs.select("rid", "text").dropDuplicates(["rid"])
+    bytes_ = ws.write(read_contexts(texts, some.union(every)), "bytes")
+    found = ws.write(group_repeats(bytes_.where("not hot"), parts), "found")
+    at = alike.select("h", "ctx", F.col("one.rid").alias("rid"), F.col("one.off").alias("off"))
+    named = found.join(at, ["h", "rid", "off"]).select("h", "ctx", "repeat", "before", "after")
+    places = rows.select("h", "ctx", "rid", "off").join(named, ["h", "ctx"])
+    places = places.select("repeat", "rid", (F.col("off") - F.col("before")).alias("start"), (F.col("off") + F.col("after")).alias("end"))
+    copied = ws.write(docs.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select("rid"), "copied")
+    windows = frequent_windows(bytes_, parts).union(bytes_.where("hot").select("h", "rid", "off").join(copied, "rid", "left_semi").select("h", "rid", "off"))
+    windows = windows.select(F.concat(F.lit("window-"), F.hex("h")).alias("repeat"), "rid", F.col("off").alias("start"), (F.col("off") + LEAST).alias("end"))
+    places = ws.write(places.union(windows).distinct(), "places")
+    ws.drop(rows, alike, large, bytes_, found, copied)
+    return docs.select("rid", "doc_id").join(places, "rid").select("repeat", (F.col("end") - F.col("start")).alias("n_bytes"), "doc_id", "start", "end")
+
+
 def removed(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs covered by spans."""
     out: list[tuple[int, int]] = []

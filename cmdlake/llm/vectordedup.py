@@ -10,6 +10,8 @@ Equal vectors are one class. A pair that meets in several buckets counts in the
 hashes tell. Buckets are compared in square blocks of bounded size; from each block go link counts per class and
 a spanning forest of its links, never all pairs.
 
+Postings carry a vector as it is stored, in single precision if it is, and its axes in four bytes each; comparisons are in double.
+
 Vectors that are null, zero or hold null or non-finite components link with nothing and keep their own id.
 Vectors of different length never link; repeated rows are links of each other; rows with a null vec_id take part,
 a component's id is its smallest vec_id; extra columns are ignored; an empty table gives an empty result.
@@ -68,7 +70,12 @@ def buckets(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, seed: int
         out[:, t, 0] = home
         out[:, t, 1:] = home[:, None]
         out[:, t, 1 : 1 + found.shape[1]] = found
-    return out + ((np.arange(tables, dtype=np.int64) << 56) + (np.int64(d % (1 << 16)) << 40))[:, None]
+    return out + places(tables, d)
+
+
+def places(tables: int, d: int) -> np.ndarray:
+    """What sets the keys of different tables, and of vectors of different length, apart: high bits over those of the axes."""
+    return ((np.arange(tables, dtype=np.int64) << 56) + (np.int64(d % (1 << 16)) << 40))[:, None]
 
 
 def first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:

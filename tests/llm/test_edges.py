@@ -67,6 +67,58 @@ def test_substrings(spark, monkeypatch, hot):
     assert collected(substrings.drop_repeats(empty(spark))) == []
 
 
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_maximal_repeats_have_all_their_places(spark, monkeypatch, hot):
+    """Every group is one string with each of its places, parted on both sides as far as contexts reach; together they cover what drop_repeats removes."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    body = " ".join(f"w{i * 37 % 101}q{i}" for i in range(80))
+    texts = [None, "", body[:420], "a" + body[:420], "b" + body[30:300] + "c", "b" + body[30:300] + "d", "e" + body[100:420], "x" * 260, "y" + "x" * 230, "lone " * 3, body[:420]]
+    rows = [(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(6, texts[6])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", substrings.F.lit(1))
+    groups = defaultdict(set)
+    data = {i: (t or "").encode() for i, t in rows}
+    for r in collected(substrings.maximal_repeats(docs)):
+        assert r["n_bytes"] == r["end"] - r["start"] >= 200
+        groups[r["repeat"]].add((r["doc_id"], r["start"], r["end"]))
+    covered, whole = defaultdict(set), 0
+    for places in groups.values():
+        d, s, e = next(iter(places))
+        b = data[d][s:e]
+        assert places == {(k, m, m + len(b)) for k, x in data.items() for m in range(len(x)) if x[m : m + len(b)] == b}
+        sides = [{data[k][s - 1 : s] if s else (k, "start") for k, s, _ in places}, {data[k][e : e + 1] or (k, "end") for k, _, e in places}]
+        whole += all(len(x) > 1 for x in sides)
+        for k, m, n in places:
+            covered[k] |= set(range(m, n))
+    assert whole >= 1 or hot == 1
+    for r in collected(substrings.drop_repeats(docs)):
+        assert covered[r["doc_id"]] == {k for x in r["spans"] or () for k in range(x["start"], x["end"])}
+    assert collected(substrings.maximal_repeats(docs.limit(0))) == []
+
+
+def test_maximal_repeats_reach_as_far_as_extents():
+    """On random groups of contexts the repeats of a place reach, together, as far as the scan for spans says."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(2, 12))
+        rows = set()
+        for _ in range(n):
+            cut = lambda x, most: x[: int(rng.integers(most // 2, most + 1))]
+            left, right = cut(bytes(rng.integers(97, 99, 6).astype(np.uint8)), 6), b"g" * substrings.GRAM + cut(bytes(rng.integers(97, 99, 8).astype(np.uint8)), 8)
+            rows.add((right, left))
+        rows = sorted(rows)
+        (right, nr), (left, nl) = (substrings._padded(arrays.pa.array([r[k] for r in rows], arrays.pa.binary()), w) for k, w in ((0, 60), (1, 8)))
+        lcp = substrings._reach(right[1:], right[:-1], nr[1:], nr[:-1])
+        least = substrings.GRAM + 4
+        before, after = substrings.extents(right, nr, left, nl, lcp, least)
+        got_b, got_a, names = np.zeros(len(rows), int), np.zeros(len(rows), int), []
+        for b, a, places in substrings.maximal(right, nr, left, nl, lcp, np.ones(len(rows), bool), least):
+            names.append((rows[places[0]][1][:b], rows[places[0]][0][:a]))
+            assert set(places.tolist()) == {k for k, (r, x) in enumerate(rows) if r[:a] == names[-1][1] and x[:b] == names[-1][0]}
+            got_b[places], got_a[places] = np.maximum(got_b[places], b), np.maximum(got_a[places], a)
+        assert len(names) == len(set(names))
+        assert (got_b == before).all() and (got_a == after).all()
+
+
 def test_pieces_of_long_texts_have_the_same_anchors(monkeypatch):
     data = np.frombuffer(LONG[:50_000].encode(), np.uint8)
     whole = np.unique(substrings.anchors(data))
