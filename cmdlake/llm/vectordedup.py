@@ -78,6 +78,21 @@ def places(tables: int, d: int) -> np.ndarray:
     return ((np.arange(tables, dtype=np.int64) << 56) + (np.int64(d % (1 << 16)) << 40))[:, None]
 
 
+def packed(keys: np.ndarray, d: int) -> list[bytes]:
+    """The keys of each row of buckets without what their place tells: four bytes each, but for vectors that need more."""
+    return [c.tobytes() for c in (keys - places(keys.shape[1], d)).astype(np.uint32 if d <= 1 << 15 else np.int64)]
+
+
+def unpacked(column: pa.Array, d: np.ndarray) -> np.ndarray:
+    """The keys of packed rows of vectors of lengths d."""
+    out, raw = np.empty((len(d), TABLES, 1 + PROBES), np.int64), np.array(column.to_pylist(), object)
+    for one in np.unique(d).tolist():
+        rows = np.flatnonzero(d == one)
+        some = np.frombuffer(b"".join(raw[rows]), np.uint32 if one <= 1 << 15 else np.int64)
+        out[rows] = some.reshape(len(rows), TABLES, 1 + PROBES).astype(np.int64) + places(TABLES, one)
+    return out
+
+
 def first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The first bucket, by table then key, in which rows with buckets a and b meet, one of them at home."""
     never = np.iinfo(np.int64).max
@@ -103,7 +118,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed(nodes: DataFrame) -> DataFrame:
-    """nodes (node, v) with their codes: all bucket keys, in a binary column."""
+    """(node, codes, d) of nodes (node, v): all bucket keys, packed, and the vector's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,10 +126,10 @@ def hashed(nodes: DataFrame) -> DataFrame:
                 some = batch.slice(at, 2048)
                 codes = np.empty(some.num_rows, object)
                 for rows, x in matrices(some.column(1)):
-                    codes[rows] = [c.tobytes() for c in buckets(unit(x))]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(codes, pa.binary())], ["node", "codes"])
+                    codes[rows] = packed(buckets(unit(x)), x.shape[1])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(codes, pa.binary()), some.column(1).value_lengths()], ["node", "codes", "d"])
 
-    return nodes.select("node", "v").mapInArrow(run, "node long, codes binary")
+    return nodes.select("node", "v").mapInArrow(run, "node long, codes binary, d int")
 
 
 def posted(coded: DataFrame) -> DataFrame:
@@ -124,7 +139,7 @@ def posted(coded: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
-                codes = np.frombuffer(b"".join(some.column(1).to_pylist()), np.int64).reshape(some.num_rows, -1)
+                codes = unpacked(some.column(1), some.column(2).to_numpy()).reshape(some.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(codes.ravel()), pa.array(np.repeat(some.column(0).to_numpy(), codes.shape[1]))], ["key", "node"])
 
     return coded.mapInArrow(run, "key long, node long").distinct()
@@ -164,8 +179,8 @@ def compare(wide: DataFrame, least: float, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in whole_runs(batches, ["key", "i", "j"]):
             key, i, j, node, block, n = (batch.column(c).to_numpy() for c in ("key", "i", "j", "node", "block", "n"))
-            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.int64).reshape(len(key), TABLES, 1 + PROBES)
-            lengths, values = batch.column("v").value_lengths().to_numpy(), batch.column("v").flatten().to_numpy()
+            lengths, values = batch.column("v").value_lengths().to_numpy(), batch.column("v").flatten().to_numpy().astype(np.float64)
+            codes = unpacked(batch.column("codes"), lengths)
             ends = np.cumsum(lengths)
             out = []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
@@ -195,7 +210,9 @@ def near_duplicates(rows: DataFrame, least: float = LEAST) -> DataFrame:
     lists = lists.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = lists.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
-    wide = cells.join(coded, "node").join(nodes.select("node", "n", "v"), "node")
+    stored = rows.schema["embedding"].dataType.simpleString()
+    v = F.col("v").cast(stored if stored == "array<float>" else "array<double>").alias("v")
+    wide = cells.join(coded.select("node", "codes"), "node").join(nodes.select("node", "n", v), "node")
     met = ws.write(compare(wide, least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "met")
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(ws, met.select(F.col("node").alias("a"), F.col("low").alias("b")), "cc")
