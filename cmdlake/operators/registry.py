@@ -1,8 +1,9 @@
 """The command plane: a log of commands folded into agents and tasks.
 
 The state that a command sees is what the commands before it left, in (ts, command_id) order. An agent exists
-if its last creation comes after its last deletion; both are running maxima over the target's log, so the fold is
-one window per target and needs no loop. Tasks are keyed by the command that made them.
+if its last creation comes after its last deletion; both are running maxima over the target's log, so the fold
+needs no loop. The log of a target is cut into slices of time, each a window of its own that starts with what the slices
+before it left, so a hot target is the work of many tasks. Tasks are keyed by the command that made them.
 """
 
 from __future__ import annotations
@@ -12,19 +13,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _last(kind: str, w=None) -> Column:
-    m = F.max(F.when(F.col("command_type") == kind, F.struct("ts", "command_id")))
-    return m.over(w) if w is not None else m
+def _last(kind: str) -> Column:
+    return F.max(F.when(F.col("command_type") == kind, F.struct("ts", "command_id")))
 
 
 def _alive(made: Column, gone: Column) -> Column:
     return made.isNotNull() & (gone.isNull() | (made > gone))
 
 
-def as_of(commands: DataFrame) -> DataFrame:
-    """commands with agent_exists: whether the target exists just before each."""
-    before = W.partitionBy("target_id").orderBy("ts", "command_id").rowsBetween(W.unboundedPreceding, -1)
-    return commands.withColumn("agent_exists", _alive(_last("create_agent", before), _last("delete_agent", before)))
+def as_of(commands: DataFrame, unit: str = "hour") -> DataFrame:
+    """commands with agent_exists: whether the target exists just before each. unit is the length of a slice of a target's log."""
+    at = F.struct("ts", "command_id")
+    made, gone = (F.when(F.col("command_type") == kind, at) for kind in ("create_agent", "delete_agent"))
+    rows = commands.withColumns({"_slice": F.date_trunc(unit, "ts"), "_made": made, "_gone": gone})
+    earlier = W.partitionBy("target_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    left = rows.groupBy("target_id", "_slice").agg(F.max("_made").alias("_made"), F.max("_gone").alias("_gone"))
+    left = left.withColumns({c: F.max(c).over(earlier) for c in ("_made", "_gone")}).withColumn("_inherited", F.lit(True))
+    # what a slice inherits is a row before its own: no join, and null targets and times are values like others
+    rows = rows.withColumn("_inherited", F.lit(False)).unionByName(left, allowMissingColumns=True)
+    before = W.partitionBy("target_id", "_slice").orderBy(F.desc("_inherited"), "ts", "command_id").rowsBetween(W.unboundedPreceding, -1)
+    seen = rows.withColumn("agent_exists", _alive(F.max("_made").over(before), F.max("_gone").over(before)))
+    return seen.where("not _inherited").select(*commands.columns, "agent_exists")
 
 
 def outcomes(commands: DataFrame) -> DataFrame:
@@ -105,7 +114,8 @@ def listing(found: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def system_status(commands: DataFrame) -> DataFrame:
     """One row: number of agents, number of tasks, and that the system runs."""
-    a, t = agents(commands).agg(F.count("*").alias("agents")), tasks(commands).agg(F.count("*").alias("tasks"))
+    made = as_of(commands).where((F.col("command_type") == "execute_task") & F.col("agent_exists"))  # canceled ones count too
+    a, t = agents(commands).agg(F.count("*").alias("agents")), made.agg(F.count("*").alias("tasks"))
     return a.crossJoin(t).withColumn("status", F.lit("running"))  # two frames of one row each
 
 

@@ -260,3 +260,21 @@ print("rows", len(catalog.queries()["flatten_open"](spark, "/root/testdata/sf0.0
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
     assert int(done.stdout.split("rows")[1]) > 0
+
+
+def test_a_log_cut_into_slices_folds_as_one(spark):
+    """Against a plain walk over the log: a hot target over many slices, null targets and times, equal times."""
+    import datetime
+    import random
+
+    rng, start = random.Random(3), datetime.datetime(2024, 1, 1)
+    kinds = ("create_agent", "delete_agent", "execute_task")
+    log = [(i, None if rng.random() < 0.05 else start + datetime.timedelta(minutes=30 * rng.randrange(40)), rng.choice((1, 1, 1, 2, 3, None)), rng.choice(kinds)) for i in range(300)]
+    frame = spark.createDataFrame(log, "command_id long, ts timestamp_ntz, target_id long, command_type string")
+    alive, want = {}, {}
+    for i, _, target, kind in sorted(log, key=lambda r: (r[1] is not None, r[1] or start, r[0])):
+        want[i] = alive.get(target, False)
+        alive[target] = kind == "create_agent" or kind != "delete_agent" and want[i]
+    for unit in ("hour", "day", "year"):
+        assert {r["command_id"]: r["agent_exists"] for r in registry.as_of(frame, unit).collect()} == want
+    assert registry.as_of(frame.limit(0)).columns == [*frame.columns, "agent_exists"] and registry.as_of(frame.limit(0)).count() == 0
