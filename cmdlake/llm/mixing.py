@@ -134,9 +134,10 @@ def _go_on(ws: Workspace, rows: DataFrame, now: DataFrame) -> tuple[DataFrame, D
     return ws.write(after.drop("block", "n"), "filled"), extra.select("s", "key")
 
 
-def plan(docs: DataFrame, label: str = "mixing", levels: int = LEVELS) -> Plan:
+def plan(docs: DataFrame, label: str = "mixing", levels: int = LEVELS, size: Column | None = None) -> Plan:
     ws = Workspace(docs.sparkSession, label)
-    sized = docs.select(_source_key(F.col("source")).alias("s"), doc_key(F.col("doc_id")).alias("key"), n_words(F.col("text")).alias("size"))
+    size = n_words(F.col("text")) if size is None else size
+    sized = docs.select(_source_key(F.col("source")).alias("s"), doc_key(F.col("doc_id")).alias("key"), size.alias("size"))
     rows = ws.write(sized.groupBy("s", "key").agg(F.sum("size").alias("size")), "rows")
     state = targets(rows.groupBy("s").agg(F.sum("size").alias("source_size")))
     quota = F.floor("target")
@@ -183,14 +184,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
-def draws(docs: DataFrame, made: Plan | None = None) -> DataFrame:
+def draws(docs: DataFrame, made: Plan | None = None, size: Column | None = None) -> DataFrame:
     """docs with size, source_size, target and draws: array<struct<in_pass, shard>>, one for each time the row is taken.
 
-    Columns of docs by these four names are replaced; all others pass, whatever their names.
+    size is the rows' own where they are counted already; else the words of text are counted. Columns of docs by these four
+    names are replaced; all others pass, whatever their names.
     """
-    made = made or plan(docs)
+    made = made or plan(docs, size=size)
+    size = n_words(F.col("text")) if size is None else size
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "draws")]
-    rows = docs.select(F.struct(*kept).alias("row"), _source_key(F.col("source")).alias("s"), doc_key(F.col("doc_id")).alias("key"), n_words(F.col("text")).alias("size"))
+    rows = docs.select(F.struct(*kept).alias("row"), _source_key(F.col("source")).alias("s"), doc_key(F.col("doc_id")).alias("key"), size.alias("size"))
     rows = rows.withColumn("block", F.substring("key", 1, 2))
     rows = rows.join(_small(made.sources.select("s", "source_size", "target", "full", "upto", "more")), "s")
     rows = rows.join(_small(made.shards.select("s", "block", "dealt")), ["s", "block"], "left")
@@ -224,6 +227,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    docs = Workspace(spark, "sizes").write(docs, "sizes")  # the result has no texts, so they are read once
     shards = F.array_join(F.transform("draws", lambda x: x["shard"].cast("string")), ",")
-    return draws(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), shards.alias("shards"))
+    return draws(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), shards.alias("shards"))
