@@ -33,7 +33,7 @@ from .vectors import unit, vectors
 PIVOTS, PREFIX, FRACTION, APART = 128, 64, 0.2, 0.9
 #: Of a small block, so many candidates for each neighbour asked for.
 DEPTH = 8
-INDEX_BLOCK, QUERY_BLOCK = 8192, 512
+INDEX_BLOCK, QUERY_BLOCK = 8192, 8192
 K = 5
 
 
